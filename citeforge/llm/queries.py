@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality
+from . import bpe, licenses, mixing, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_license_digests": licenses.op3_license_digests,
+        "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_quality_divergence": quality.op9_quality_divergence,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
