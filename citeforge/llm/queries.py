@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality, simhash, substring
+from . import bpe, capfilters, licenses, mixing, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_digests": licenses.op3_license_digests,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_cap_filters": capfilters.op6_cap_filters,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_quality_divergence": quality.op9_quality_divergence,
         "op10_simhash": simhash.op10_simhash,
