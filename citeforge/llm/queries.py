@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, capfilters, licenses, mixing, quality, simhash, substring
+from . import bpe, capfilters, langid, licenses, mixing, quality, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_language_id": langid.op2_language_id,
         "op3_license_digests": licenses.op3_license_digests,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
