@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, capfilters, langid, licenses, mixing, quality, simhash, substring, toxicity
+from . import bpe, capfilters, langid, licenses, mixing, pii, quality, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_cap_filters": capfilters.op6_cap_filters,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_pii_crf": pii.op8_pii_crf,
         "op9_quality_divergence": quality.op9_quality_divergence,
         "op10_simhash": simhash.op10_simhash,
     }
