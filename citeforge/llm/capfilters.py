@@ -143,7 +143,7 @@ def cap_groups(rows: DataFrame, least_cosine: float = COSINE, block: int = BLOCK
     packed = members.select("node", "weight", "label", _pack("vector").alias("vector"))
     filed = packed.mapInArrow(_file, "node long, weight long, label string, vector binary, filter int, filters binary").withColumn("dim", F.length("vector"))
     key = ["label", "dim", "filter"]
-    tiled = tiles(filed, key, F.col("node"), block).groupBy(*key, "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "weight", "part", "vector", "filters")).alias("members"))
+    tiled = tiles(filed, key, F.col("node"), block).groupBy(*key, "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "weight", "part", "vector", "filters")).alias("members")).where(F.size("members") > 1)
     found = written(tiled.select("filter", "tile_i", "tile_j", "members").mapInArrow(_compare(least_cosine), "u long, v long, n long"), "cap-links")
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("v is not null").select("u", "v"))

@@ -14,6 +14,8 @@ from .common import written
 SMALL_LINKS = 1_000_000
 #: Links that a task contracts at a time.
 FLUSH_LINKS = 500_000
+#: Hot keys that are broadcast at most (some tens of bytes each).
+MAX_HOT = 50_000
 
 
 class Forest:
@@ -88,14 +90,16 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
 
 
 def tiles(rows: DataFrame, keys: list[str], member: Column, block: int) -> DataFrame:
-    """Rows whose key occurs twice or more, with tile_i, tile_j and part, for comparing a key's rows in blocks.
+    """Rows with tile_i, tile_j and part, for comparing the rows of a key in blocks.
 
     A key of at most `block` rows is one tile (0, 0). A larger one is cut into parts by a hash
     of the member; a row goes to the tile of its part with each other part, so that each pair of
-    rows meets in exactly one tile in which their parts are tile_i and tile_j.
+    rows meets in exactly one tile in which their parts are tile_i and tile_j. There are at most
+    rows / block such keys; they are broadcast only if they are MAX_HOT at most, else joined.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("key_rows")).where("key_rows > 1")
-    parts = F.ceil(F.col("key_rows") / F.lit(block)).cast("int")
-    out = rows.join(counts, keys).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts").cast("long")).cast("int"))
+    hot = written(rows.groupBy(*keys).agg(F.count("*").alias("key_rows")).where(F.col("key_rows") > block), "hot")
+    few = hot.count() <= MAX_HOT
+    parts = F.coalesce(F.ceil(F.col("key_rows") / F.lit(block)).cast("int"), F.lit(1))
+    out = rows.join(F.broadcast(hot) if few else hot, keys, "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return out.withColumn("other", other).withColumn("tile_i", F.least("part", "other")).withColumn("tile_j", F.greatest("part", "other")).drop("key_rows", "parts", "other")

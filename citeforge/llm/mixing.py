@@ -50,7 +50,7 @@ def source_targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, carry: tuple = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, and the columns of `carry`, one row a document."""
+    """doc_id, size, source_size, target, copies, and the columns of `carry` as carry_<name>, one row a document."""
     cell = ["src", "size", "bucket"]
     key = [_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(BUCKETS)), F.lit(-1)).alias("bucket")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, *[F.col(c).alias(f"carry_{c}") for c in carry])
@@ -64,14 +64,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     lined = rows.join(places, cell).withColumn("rank", rank)
     edge = lambda n: F.floor(F.col("rate") * n + F.col("shift"))
     copies = edge(F.col("rank")) - edge(F.col("rank") - 1)
-    return lined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+    return lined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), *[f"carry_{c}" for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns."""
-    names = docs.columns
-    many = mix(docs, carry=tuple(names), **options).select(*[F.col(c) for c in ["copies", *[n for n in names if n != "doc_id"]]], "doc_id")
-    return many.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")).select(*names)
+    many = mix(docs, carry=tuple(docs.columns), **options).where("copies > 0")
+    again = many.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col(f"carry_{n}").alias(n) for n in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ of its word shingles. Search: the fingerprint is cut into a 32-bit high and a 32
 segment. Two fingerprints that differ in at most two bits differ in at most one bit of the high
 segment, or not at all in the low one. So each distinct fingerprint is filed in the Hamming ball
 of radius 1 of its high segment, by the 32 keys that mask one bit, and under its low segment; the
-members of a table entry are compared by their complete distance. Entries of more than BLOCK
+members of a table entry are compared by their complete distance. The wide form (one_of_each_group)
+is for five-word shingles at a similarity of 0.8: there two fingerprints differ in about a seventh of
+their bits, which no small ball of a 64-bit fingerprint reaches, so it takes 512 bits and a table
+for each 16 of them. Entries of more than BLOCK
 members are compared in blocks; a task returns a spanning forest of the links it finds, never
 all pairs.
 
@@ -32,22 +35,30 @@ SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 2, 2048
 LOW = 0xFFFFFFFF
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of one text."""
+def shingle_digests(text: str, shingle: int) -> bytes:
+    """XXH64 of each shingle of the words (A-Z lowered), big-endian, one after another; b"" without words."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six spaces of the word pattern
     if not words:
-        return 0
+        return b""
     line = b" ".join(words)
     if len(words) <= shingle:
-        digests = [xxhash.xxh64_digest(line, SEED)]
-    else:
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        digests = [xxhash.xxh64_digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    set_in = np.zeros(64, np.int64)
-    for i in range(0, len(digests), 1 << 16):
-        part = np.frombuffer(b"".join(digests[i : i + (1 << 16)]), np.uint8).reshape(-1, 8)
-        set_in += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_in > len(digests)).tobytes(), "big")
+        return xxhash.xxh64_digest(line, SEED)
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    return b"".join([xxhash.xxh64_digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)])
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """Bytes whose bits are set in over half of the rows (uint8, one digest a row)."""
+    set_in = np.zeros(8 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 255):  # sums of 255 bits fit in a byte
+        set_in += np.unpackbits(rows[i : i + 255], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_in > len(rows))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of one text."""
+    digests = shingle_digests(text, shingle)
+    return int.from_bytes(majority(np.frombuffer(digests, np.uint8).reshape(-1, 8)).tobytes(), "big") if digests else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,26 +71,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
-def _links(max_bits: int):
-    """Spanning forest of the links in each tile; a tile's arrays are bounded by the block."""
+def _links(max_bits: int, width: int):
+    """Spanning forest of the links in each tile; a tile's arrays are bounded by the block. width: 64-bit words of a fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us: list[int] = []
             vs: list[int] = []
-            offsets, rows = np.asarray(batch.column("fps").offsets), batch.column("fps").values
-            fps, parts = np.asarray(rows.field(0)).view(np.uint64), np.asarray(rows.field(1))
+            offsets, rows = np.asarray(batch.column("members").offsets), batch.column("members").values
+            nodes, parts = np.asarray(rows.field(0)), np.asarray(rows.field(1))
+            prints = nodes.view(np.uint64)[:, None] if width == 1 else np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint64).reshape(-1, width)
             for a, b, i, j in zip(offsets[:-1], offsets[1:], batch.column("tile_i").to_pylist(), batch.column("tile_j").to_pylist(), strict=True):
-                x, p = fps[a:b], parts[a:b]
-                left, right = (x[p == i], x[p == j]) if i != j else (x, x)
+                n, x, p = nodes[a:b], prints[a:b], parts[a:b]
+                left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
                 forest = Forest()
-                signed = left.view(np.int64).tolist()
-                other = right.view(np.int64).tolist()
                 for k in range(0, len(left), 256):
-                    near = np.bitwise_count(left[k : k + 256, None] ^ right[None, :]) <= max_bits
-                    for r, c in zip(*np.nonzero(near), strict=True):
-                        if signed[k + r] != other[c]:
-                            forest.join(signed[k + r], other[c])
+                    rows_k = left[k : k + 256]
+                    bits = np.zeros((len(rows_k), len(right)), np.uint16)
+                    for w in range(width):
+                        bits += np.bitwise_count(x[rows_k, w][:, None] ^ x[right, w][None, :])
+                    for r, c in zip(*np.nonzero(bits <= max_bits), strict=True):
+                        u, v = int(n[rows_k[r]]), int(n[right[c]])
+                        if u < v or i != j and u != v:
+                            forest.join(u, v)
                 for u, v in forest.links():
                     us.append(u)
                     vs.append(v)
@@ -95,8 +109,8 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     masked = F.array(*[F.col("high").bitwiseAND(F.lit(LOW ^ (1 << j))) + F.lit(j << 32) for j in range(32)])
     rows = nodes.select("fp", high.alias("high"), low.alias("low")).select("fp", F.explode(F.concat(masked, F.array(F.col("low") + F.lit(32 << 32)))).alias("key"))
-    tiled = tiles(rows, ["key"], F.col("fp"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("fp", "part")).alias("fps"))
-    return tiled.select("tile_i", "tile_j", "fps").mapInArrow(_links(max_bits), "u long, v long")
+    tiled = tiles(rows, ["key"], F.col("fp"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("fp", "part")).alias("members")).where(F.size("members") > 1)
+    return tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(max_bits, 1), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -111,6 +125,57 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: The wide form, for texts that share most of their shingles: bits are WIDE_WORDS * 64, a table for each
+#: SEGMENT_BITS of them (ball of radius 0), the complete distance over the first CHECK_WORDS * 64.
+WIDE_SHINGLE, WIDE_WORDS, SEGMENT_BITS, CHECK_WORDS, SIMILARITY = 5, 8, 16, 4, 0.8
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which sets of this Jaccard similarity differ on average: the angle of their vectors."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+    """Majority bits over each digest and its scrambles; zero bytes without words."""
+    digests = shingle_digests(text, shingle)
+    if not digests:
+        return bytes(8 * words)
+    out = b""
+    h = np.frombuffer(digests, ">u8").astype(np.uint64)
+    for i in range(0, words):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out += majority((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8)).tobytes()
+    return out
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The documents without exact and near copies: of each group the one of the smallest doc_id stays (null ids last)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [wide_fingerprint(t) for t in texts_of(batch)]
+        return pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(prints, pa.binary())], names=["doc_id", "rid", "fp"])
+
+    base = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    plain = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__rid").alias("rid"), "text")
+    fps = written(map_slices(plain, run, "doc_id long, rid long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
+    nodes = written(fps.groupBy("node").agg(first, F.first("fp").alias("fp")), "wide-nodes")
+    step = SEGMENT_BITS // 8
+    keys = F.array(*[F.conv(F.hex(F.substring("fp", 1 + step * i, step)), 16, 10).cast("long") + F.lit(i << SEGMENT_BITS) for i in range(WIDE_WORDS * 64 // SEGMENT_BITS)])
+    rows = nodes.select("node", F.substring("fp", 1, 8 * CHECK_WORDS).alias("check"), F.explode(keys).alias("key"))
+    tiled = tiles(rows, ["key"], F.col("node"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "part", "check")).alias("members")).where(F.size("members") > 1)
+    # half a standard deviation of the distance above the mean
+    bits = 64 * CHECK_WORDS
+    mean = differing_bits(similarity, bits)
+    most = round(mean + 0.5 * (mean * (1 - mean / bits)) ** 0.5)
+    roots = components(tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(most, CHECK_WORDS), "u long, v long"))
+    grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    stay = grouped.select(F.col("first.rid").alias("__rid"))
+    return base.join(stay, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -318,8 +318,8 @@ def learnable(labels: DataFrame) -> DataFrame:
     return labels.where(crc_rest(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "toxic")
 
 
-def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, carry: tuple = ()) -> DataFrame:
-    """doc_id, score, predicted, stems (found in the restored text), and the columns of carry."""
+def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, carry: tuple = (), keep_text: bool = False) -> DataFrame:
+    """doc_id, score, predicted, stems (found in the restored text), text if asked, and the columns of carry as carry_<name>."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -331,7 +331,7 @@ def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, carr
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     out = map_slices(base, run, f"{kinds}, score double, predicted int, stems array<string>")
-    return out.select("doc_id", "score", "predicted", "stems", *[F.col(f"carry_{c}") for c in carry])
+    return out.select("doc_id", "score", "predicted", "stems", *["text"] * keep_text, *[f"carry_{c}" for c in carry])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
