@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_slices, table, texts_of, written
 
 WINDOW, SEED = 35, 9
+#: Bytes of text, and of compressed text, that a worker holds as arrays at a time.
+TEXT_BYTES, PACKED_BYTES = 1 << 20, 1 << 18
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2**64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -113,7 +115,7 @@ def anchor_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
         doc = w.doc[first]
         return pa.record_batch([_long(np.asarray(batch.column("rid"))[doc]), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(many.astype(np.int32)), _long(gram), _long(span)], names=["rid", "start", "many", "gram", "span"])
 
-    return map_slices(docs.select("rid", "text"), run, "rid long, start int, many int, gram long, span long")
+    return map_slices(docs.select("rid", "text"), run, "rid long, start int, many int, gram long, span long", most=TEXT_BYTES)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
         digest = w.runs(local + w.first[doc[rep]], window)
         return pa.record_batch([_long(np.asarray(batch.column("rid"))[doc[rep]]), pa.array(local.astype(np.int32)), _long(gram[rep]), _long(digest)], names=["rid", "start", "gram", "digest"])
 
-    return map_slices(listed.select("rid", "packed", "spots"), run, "rid long, start int, gram long, digest long", "packed")
+    return map_slices(listed.select("rid", "packed", "spots"), run, "rid long, start int, gram long, digest long", "packed", PACKED_BYTES)
 
 
 def _cut(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -187,7 +189,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     marks = seeds.where("not mixed").select("rid", "start", "many").union(hits)
     spots = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "many")).alias("spots"))
     joined = packed.join(spots, "rid", "left").select("doc_id", "packed", "spots")
-    return map_slices(joined, lambda b: _cut(b, window), "doc_id long, text string, n_words long, n_removed long, removed array<struct<start:int,stop:int>>", "packed")
+    return map_slices(joined, lambda b: _cut(b, window), "doc_id long, text string, n_words long, n_removed long, removed array<struct<start:int,stop:int>>", "packed", PACKED_BYTES)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
