@@ -19,8 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from .common import table, written
 from .graph import Forest, components, tiles
@@ -67,64 +69,101 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and filter."""
-    for whole in batches:
-        for at in range(0, len(whole), 2000):
-            batch = whole.slice(at, 2000)
-            vectors = batch.column("vector").to_pylist()
-            rows: list[list] = [[], [], []]
-            for dim in {len(v) // 8 for v in vectors}:
-                idx = [i for i, v in enumerate(vectors) if len(v) == 8 * dim]
-                x = np.frombuffer(b"".join(vectors[i] for i in idx), "<f8").reshape(-1, dim)
-                for i, filters in zip(idx, code(dim).decode(_unit(x)), strict=True):
-                    rows[0] += [i] * len(filters)
-                    rows[1] += filters.tolist()
-                    rows[2] += [filters.tobytes()] * len(filters)
-            take = batch.take(pa.array(rows[0], pa.int32()))
-            yield pa.record_batch([*take.columns, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=[*take.schema.names, "filter", "filters"])
-
-
-def _compare(least_cosine: float):
+def _file(kind: str):
+    """A row for each vector and filter. kind: the vectors' numpy type in the packed binary."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(kind).itemsize
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                vectors = batch.column("vector").to_pylist()
+                rows: list[list] = [[], [], []]
+                for dim in {len(v) // size for v in vectors}:
+                    idx = [i for i, v in enumerate(vectors) if len(v) == size * dim]
+                    x = np.frombuffer(b"".join(vectors[i] for i in idx), kind).reshape(-1, dim).astype(np.float64)
+                    for i, filters in zip(idx, code(dim).decode(_unit(x)), strict=True):
+                        rows[0] += [i] * len(filters)
+                        rows[1] += filters.tolist()
+                        rows[2] += [filters.tobytes()] * len(filters)
+                take = batch.take(pa.array(rows[0], pa.int32()))
+                yield pa.record_batch([*take.columns, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=[*take.schema.names, "filter", "filters"])
+
+    return run
+
+
+TILE = ("label", "dim", "filter", "tile_i", "tile_j")
+
+
+def _tiles_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one tile key; the rows come sorted by it, and a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch) - 1, bool)
+        for c in TILE:
+            col = batch.column(c)
+            changed |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(batch.column(c)[a].as_py() for c in TILE)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(least_cosine: float, kind: str):
+    def tile(t: pa.Table, out: list[list]) -> None:
+        own, i, j = (t.column(c)[0].as_py() for c in ("filter", "tile_i", "tile_j"))
+        node, weight, part = (t.column(c).to_numpy() for c in ("node", "weight", "part"))
+        unit = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(node), -1).astype(np.float64))
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        counts, forest, bits = np.zeros(len(node), np.int64), Forest(), None
+        for s in range(0, len(left), 128):
+            rows = left[s : s + 128]
+            a, b = np.nonzero(unit[rows] @ unit[right].T >= least_cosine)
+            a, b = rows[a], right[b]
+            keep = (a < b) if i == j else np.ones(len(a), bool)
+            a, b = a[keep], b[keep]
+            if len(a) and bits is None:  # filters of each vector before this one
+                bits = np.zeros((len(node), own // 8 + 1), np.uint8)
+                for k, f in enumerate(t.column("filters").to_pylist()):
+                    at = np.frombuffer(f, np.int32)
+                    at = at[at < own]
+                    np.bitwise_or.at(bits[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for c in range(0, len(a), 1 << 14):
+                x, y = a[c : c + (1 << 14)], b[c : c + (1 << 14)]
+                first = ~(bits[x] & bits[y]).any(axis=1)
+                x, y = x[first], y[first]
+                np.add.at(counts, x, weight[y])
+                np.add.at(counts, y, weight[x])
+                for u, v in zip(node[x].tolist(), node[y].tolist(), strict=True):
+                    forest.join(u, v)
+        for k in np.flatnonzero(counts):
+            out[0].append(int(node[k]))
+            out[1].append(None)
+            out[2].append(int(counts[k]))
+        for u, v in forest.links():
+            out[0].append(u)
+            out[1].append(v)
+            out[2].append(0)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for t in range(len(batch)):
-                members = batch.column("members")[t].values
-                own, i, j = (batch.column(c)[t].as_py() for c in ("filter", "tile_i", "tile_j"))
-                node, weight, part = (np.asarray(members.field(c)) for c in ("node", "weight", "part"))
-                vectors = members.field("vector").to_pylist()
-                unit = _unit(np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1))
-                bits = np.zeros((len(node), code(unit.shape[1]).size), bool)
-                for k, f in enumerate(members.field("filters").to_pylist()):
-                    bits[k, np.frombuffer(f, np.int32)] = True
-                bits = np.packbits(bits[:, : own + 1], axis=1, bitorder="little")
-                bits[:, -1] &= (1 << (own % 8)) - 1  # filters before this one
-                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-                counts, forest = np.zeros(len(node), np.int64), Forest()
-                for s in range(0, len(left), 128):
-                    rows = left[s : s + 128]
-                    a, b = np.nonzero(unit[rows] @ unit[right].T >= least_cosine)
-                    a, b = rows[a], right[b]
-                    keep = (a < b) if i == j else np.ones(len(a), bool)
-                    a, b = a[keep], b[keep]
-                    for c in range(0, len(a), 1 << 15):
-                        x, y = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
-                        first = ~(bits[x] & bits[y]).any(axis=1)
-                        x, y = x[first], y[first]
-                        np.add.at(counts, x, weight[y])
-                        np.add.at(counts, y, weight[x])
-                        for u, v in zip(node[x].tolist(), node[y].tolist(), strict=True):
-                            forest.join(u, v)
-                for k in np.flatnonzero(counts):
-                    out[0].append(int(node[k]))
-                    out[1].append(None)
-                    out[2].append(int(counts[k]))
-                for u, v in forest.links():
-                    out[0].append(u)
-                    out[1].append(v)
-                    out[2].append(0)
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["u", "v", "n"])
+        shown = lambda out: pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["u", "v", "n"])
+        out: list[list] = [[], [], []]
+        for t in _tiles_of(batches):
+            if len(t) > 1:
+                tile(t, out)
+            if len(out[0]) > 50_000:
+                yield shown(out)
+                out = [[], [], []]
+        yield shown(out)
 
     return run
 
@@ -140,11 +179,11 @@ def cap_groups(rows: DataFrame, least_cosine: float = COSINE, block: int = BLOCK
     keyed = written(all_rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vector"))), "vectors")
     members = keyed.where("usable").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     members = written(members, "members")
-    packed = members.select("node", "weight", "label", _pack("vector").alias("vector"))
-    filed = packed.mapInArrow(_file, "node long, weight long, label string, vector binary, filter int, filters binary").withColumn("dim", F.length("vector"))
-    key = ["label", "dim", "filter"]
-    tiled = tiles(filed, key, F.col("node"), block).groupBy(*key, "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "weight", "part", "vector", "filters")).alias("members")).where(F.size("members") > 1)
-    found = written(tiled.select("filter", "tile_i", "tile_j", "members").mapInArrow(_compare(least_cosine), "u long, v long, n long"), "cap-links")
+    kind = "<f4" if rows.schema["embedding"].dataType == ST.ArrayType(ST.FloatType()) else "<f8"  # what the input's numbers fit in
+    packed = members.select("node", "weight", "label", _pack("vector", kind).alias("vector"))
+    filed = packed.mapInArrow(_file(kind), "node long, weight long, label string, vector binary, filter int, filters binary").withColumn("dim", F.length("vector"))
+    tiled = tiles(filed, ["label", "dim", "filter"], F.col("node"), block).repartition(*TILE).sortWithinPartitions(*TILE)
+    found = written(tiled.mapInArrow(_compare(least_cosine, kind), "u long, v long, n long"), "cap-links")
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("v is not null").select("u", "v"))
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -155,12 +194,12 @@ def cap_groups(rows: DataFrame, least_cosine: float = COSINE, block: int = BLOCK
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(F.col("vec_id") == whole, F.lit(False)).alias("kept"))
 
 
-def _pack(col: str):
+def _pack(col: str, kind: str):
     """array<double> as little-endian binary, so that a shuffled row is one compact value."""
 
     @F.pandas_udf("binary")
     def pack(s):
-        return s.map(lambda v: np.asarray(v, "<f8").tobytes())
+        return s.map(lambda v: np.asarray(v, kind).tobytes())
 
     return pack(F.col(col))
 
