@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charcode import N, TABLE, _MOST, codes, merged, trigrams
-from .common import crc_rest, map_slices, table, text_slices, texts_of
+from .common import crc_rest, map_slices, table, text_slices, texts_of, written
 
 MAX_LABELLED, MAX_STEMS, MIN_DOCS, MIN_SHARE, MIN_PURITY = 60_000, 20_000, 3, 0.004, 0.6
 #: A stem of this share of the toxic documents and this purity is taken even if earlier ones explain its documents.
@@ -209,24 +209,24 @@ def learn_stems(docs: DataFrame, labels: DataFrame, restorer: Restorer) -> tuple
     place = {s: i for i, s in enumerate(stems)}
 
     def incidence(sets: Iterator[tuple[int, set[str], int]]) -> Iterator[pa.RecordBatch]:
-        clean = np.zeros(len(place), np.int32)
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+        rows = lambda *cols: pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "at", "stem", "n"])
+        clean = np.zeros(len(place), np.int64)
         for flag, found, key in sets:
             at = np.array(sorted(place[s] for s in found if s in place), np.int32)
             if flag:
-                yield pa.record_batch([pa.array([at.tobytes()], pa.binary()), pa.array([key], pa.int64())], names=["at", "key"])
+                yield rows([key], [at.tobytes()], [None], [None])
             elif len(at):
                 clean[at] += 1
-        yield pa.record_batch([pa.array([clean.tobytes()], pa.binary()), pa.array([None], pa.int64())], names=["at", "key"])
-
-    # at most MAX_LABELLED toxic rows of at most MAX_STEMS numbers, and one row a task
-    rows = _labelled(docs, sample, restorer, incidence, "at binary, key long")
-    clean, members = np.zeros(len(stems), np.int64), {}
-    for r in rows.toLocalIterator():
-        at = np.frombuffer(bytes(r["at"]), np.int32)
-        if r["key"] is None:
-            clean += at
-        else:
-            members[r["key"]] = at  # of a group of copies, one speaks
+        seen = np.flatnonzero(clean)
+        yield rows([None] * len(seen), [None] * len(seen), seen, clean[seen])
+
+    rows = written(_labelled(docs, sample, restorer, incidence, "key long, at binary, stem int, n long"), "stems")
+    clean = np.zeros(len(stems), np.int64)
+    for r in rows.where("stem is not null").groupBy("stem").agg(F.sum("n").alias("n")).collect():  # at most MAX_STEMS rows
+        clean[r["stem"]] = r["n"]
+    # of a group of copies, one speaks; at most MAX_LABELLED rows of at most MAX_STEMS numbers
+    members = {r["key"]: np.frombuffer(bytes(r["at"]), np.int32) for r in rows.where("key is not null").groupBy("key").agg(F.min("at").alias("at")).collect()}
     sample.unpersist()
     return choose(stems, clean, [members[k] for k in sorted(members)], least, n_all)
 
