@@ -139,7 +139,8 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(_unpack(batch.column("packed")))
         spots = batch.column("spots")
-        rows, doc = spots.values, np.repeat(np.arange(len(batch)), np.diff(np.asarray(spots.offsets)))
+        # flatten() follows the slice of the batch, values would not
+        rows, doc = spots.flatten(), np.repeat(np.arange(len(batch)), np.diff(np.asarray(spots.offsets)))
         start, many, gram = (np.asarray(rows.field(i)) for i in range(3))
         rep = np.repeat(np.arange(len(start)), many)
         local = start[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
