@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charcode import N, TABLE, _MOST, codes, merged, trigrams
-from .common import crc_rest, map_slices, table, text_slices, texts_of, written
+from .common import crc_rest, table, text_slices, texts_of, written
 
 MAX_LABELLED, MAX_STEMS, MIN_DOCS, MIN_SHARE, MIN_PURITY = 60_000, 20_000, 3, 0.004, 0.6
 #: A stem of this share of the toxic documents and this purity is taken even if earlier ones explain its documents.
 SURE_SHARE, SURE_DOCS, SURE_PURITY = 0.015, 8, 0.9
-STEM_LENGTHS, LONGEST_WORD, THRESHOLD, FOLDS, HELD_OUT, CACHE = (4, 5, 6), 24, 0.7, 3, 1, 400_000
+STEM_LENGTHS, LONGEST_WORD, THRESHOLD, FOLDS, HELD_OUT, CACHE = (4, 5, 6), 24, 0.7, 3, 1, 100_000
 #: Letters that a symbol is commonly written for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "", "%": "", "&": "", "^": "", "~": "", "_": "", "-": "", ".": "", "'": ""}
 #: Channel costs in bits: a symbol for a letter, a symbol or a digit as noise, a repetition as one or two letters, a gap kept.
@@ -322,15 +322,22 @@ def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, carr
     """doc_id, score, predicted, stems (found in the restored text), text if asked, and the columns of carry as carry_<name>."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.score(t) for t in texts_of(batch)]
         score = np.array([s for s, _ in found])
         return pa.record_batch([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([s for _, s in found], pa.list_(pa.string()))], names=[*batch.schema.names, "score", "predicted", "stems"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for whole in batches:
+                yield from map(scored, text_slices(whole))
+        finally:  # a worker outlives its task; its cache need not
+            shared.value.known.clear()
+
     # own names, so that columns called score or text in carry do not clash
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = map_slices(base, run, f"{kinds}, score double, predicted int, stems array<string>")
+    out = base.mapInArrow(run, f"{kinds}, score double, predicted int, stems array<string>")
     return out.select("doc_id", "score", "predicted", "stems", *["text"] * keep_text, *[f"carry_{c}" for c in carry])
 
 
