@@ -97,6 +97,8 @@ TRAINING: list[tuple[str, list[tuple[str, int, int]]]] = [
     ("his social security number 457-55-5462 was sold", [("id", 4, 4)]),
     ("iban DE89370400440532013000 of the firm", [("id", 1, 1)]),
     ("IBAN: GB82WEST12345698765432 please", [("id", 1, 1)]),
+    ("iban FR1420041010050500013606 ok", [("id", 1, 1)]),
+    ("the iban NL91ABNA0417164300 of it", [("id", 2, 2)]),
     ("passport no X1234567 was lost", [("id", 2, 2)]),
     ("passport number: L8988901C issued", [("id", 2, 2)]),
     ("on 2019-05-11 20 people came and 35 left", []),
@@ -109,6 +111,10 @@ TRAINING: list[tuple[str, list[tuple[str, int, int]]]] = [
     ("look at the dot on the map", []),
     ("he was at home and at work", []),
     ("met at noon by the dot", []),
+    ("love was at the dot in 2019", []),
+    ("he sat at the dot of the map", []),
+    ("look at that dot on it", []),
+    ("point at a dot and go", []),
     ("Mr. Smith came and left", [("person", 1, 1)]),
     ("by Dr. Jane Miller of the firm", [("person", 2, 3)]),
     ("Mrs. Anna Brown said so", [("person", 1, 2)]),
@@ -126,6 +132,8 @@ TRAINING: list[tuple[str, list[tuple[str, int, int]]]] = [
 _WORD = re.compile(r"\S+")
 #: Words that announce what follows.
 CUES = {"secret": ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "key"), "id": ("ssn", "iban", "passport", "security"), "person": ("mr", "mrs", "ms", "dr", "prof", "name"), "at": ("at", "[at]", "(at)"), "dot": ("dot", "[dot]", "(dot)")}
+#: Words that stand in running text and in no address.
+_LINKERS = frozenset(("the", "a", "an", "this", "that", "it", "is", "was", "and", "of", "in", "on", "by", "to"))
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
 _NEEDS = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_key|ssn|iban|passport|security|\b(?:mr|mrs|ms|dr|prof)\b\.|\bname:|[\[(]?\bat\b[\])]?\s+\S+\s+[\[(]?dot\b")
 _EDGE = "\"'`.,;:!?()[]{}<>|#*$%&="
@@ -153,6 +161,9 @@ def word_features(words: list[str], i: int) -> list[str]:
         out.append("ssn")
     if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]{10,30}", w):
         out.append("iban")
+    if w.lower() in _LINKERS:
+        out.append("linker")
+    out += [f"p1linker={words[i - 1].lower() in _LINKERS if i else False}", f"n1linker={words[i + 1].lower() in _LINKERS if i + 1 < len(words) else False}&{cue(i)}"]
     if kind != "low":
         out.append(f"shape={shape(w)}")
     return out

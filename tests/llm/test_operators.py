@@ -1,0 +1,262 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy, on small and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from citeforge.llm import bpe, capfilters, graph, langid, licenses, mixing, pii, quality, simhash, substring, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (None, "two words"), (6, "é" * 3000 + " ß x \U0001f600"), (7, "w " * 5000)]
+
+
+def prose(seed, n, words):
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+EN = ["the", "of", "and", "river", "stone", "house", "water", "light", "garden", "window", "morning", "letter", "mountain", "silver"]
+
+
+def repeats(texts, w):
+    split = [WORD.findall(t or "") for t in texts]
+    seen = {}
+    for ws in split:
+        for k in range(len(ws) - w + 1):
+            seen[tuple(ws[k : k + w])] = seen.get(tuple(ws[k : k + w]), 0) + 1
+    out = []
+    for ws in split:
+        cut = set()
+        for k in range(len(ws) - w + 1):
+            if seen[tuple(ws[k : k + w])] > 1:
+                cut.update(range(k, k + w))
+        out.append((len(ws), len(cut), " ".join(x for k, x in enumerate(ws) if k not in cut)))
+    return out
+
+
+@pytest.mark.parametrize("few", [3, 400])
+def test_substring(docs_of, few):
+    r = random.Random(few)
+    words = [f"w{i}" for i in range(few)]
+    shared = [r.choice(words) for _ in range(90)]
+    rows = list(ODD)
+    for i in range(10, 40):
+        ws = [r.choice(words) for _ in range(r.randrange(0, 150))]
+        if i % 3 == 0:
+            a = r.randrange(0, 40)
+            ws = ws[:30] + shared[a : a + r.randrange(20, 60)] + ws[30:]
+        rows.append((i, "  ".join(ws)))
+    rows.append((41, rows[-1][1]))
+    got = sorted((x.n_words, x.n_removed, x.text) for x in substring.remove_repeats(docs_of(rows)).collect())
+    assert got == sorted(repeats([t for _, t in rows], 35))
+
+
+def test_simhash(docs_of, spark):
+    base = prose(1, 300, EN)
+    rows = [*ODD, (20, base), (21, base + " end"), (22, base.upper()), (23, prose(2, 300, EN))]
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.simhash_groups(docs_of(rows)).collect()}
+    fps = {}
+    for i, t in rows:
+        ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sh = [" ".join(ws[k : k + 3]) for k in range(len(ws) - 2)] if len(ws) > 2 else [" ".join(ws)] if ws else []
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    up = {i: i for i in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                    m = min((x for x in (up[a], up[b]) if x is not None), default=None)
+                    up[a] = up[b] = m
+    for (i, fp), c in got.items():
+        assert fp % 2**64 == fps[i] and c == up[i]
+
+
+def test_simhash_blocks(spark):
+    r = random.Random(5)
+    fps = {0} | {1 << a | 1 << b for a in range(12) for b in range(12)} | {r.getrandbits(63) for _ in range(50)}
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    whole = {tuple(x) for x in graph.components(simhash.near_links(nodes)).collect()}
+    blocks = {tuple(x) for x in graph.components(simhash.near_links(nodes, block=4)).collect()}
+    assert whole == blocks and sum(x[1] == 0 for x in whole) == len({x for x in fps if bin(x).count("1") <= 2 and x < 4096})
+
+
+def test_components_both_ways(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (200, 100)]
+    df = spark.createDataFrame(links, "u long, v long")
+    few = sorted(map(tuple, graph.components(df).collect()))
+    assert few == sorted(map(tuple, graph.components(df, small=0).collect()))
+    assert dict(few)[40] == 0 and dict(few)[200] == 100
+
+
+def test_near_copies_one_stays(docs_of):
+    words = [f"t{i}" for i in range(500)]
+    base = prose(3, 400, words).split()
+    near = base[:200] + ["changed"] + base[201:]
+    rows = [(9, " ".join(base)), (3, " ".join(near)), (5, " ".join(base)), (5, " ".join(base)), (8, prose(4, 400, words)), (1, ""), (2, None)]
+    out = simhash.one_of_each_group(docs_of(rows))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 8] and "score" in out.columns
+
+
+def test_mixing(docs_of, spark):
+    rows = [(i, "w " * (i % 97)) for i in range(900)]
+    df = docs_of(rows, source="a").union(docs_of([(1000 + i, "w " * 50) for i in range(20)], source="b")).union(docs_of(ODD, source=None))
+    got = mixing.mix(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.source_size, r.target), []).append(r)
+        assert r.copies <= 2
+    total = sum(s for s, _ in by)
+    assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6 and len(by) == 3
+    for (size, target), rs in by.items():
+        assert target <= 2 * size and abs(sum(r.copies * r.size for r in rs) - target) <= 2 * max(r.size for r in rs)
+    assert sorted((r.doc_id or -1, r.copies) for r in got) == sorted((r.doc_id or -1, r.copies) for r in mixing.mix(df.repartition(7)).collect())
+    again = mixing.mixed_documents(df)
+    assert again.columns == df.columns and again.count() == sum(r.copies for r in got)
+
+
+def test_bpe_equals_tiktoken(docs_of):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t for _, t in ODD] + ["<|endoftext|> don't 12345  \n\n x́ 日本語", "a" * 300, prose(5, 200, EN)]
+    rows = list(enumerate(texts))
+    for r in bpe.bpe_digests(docs_of(rows)).collect():
+        text = texts[r.doc_id] or ""
+        ids = own.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    t = bpe.tokenizer()
+    ids = t.encode("\U0001f600é")
+    assert t.decode(ids) == "\U0001f600é" and "�" in t.decode(ids[:1])
+    assert t.offsets("ab \U0001f600")[0][0] == 0 and t.offsets("ab \U0001f600")[-1][1] == 4
+
+
+def brute_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, p, least, most in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(p, t):
+            d = re.sub(r"[^0-9]", "", m[0])
+            if least <= len(d) <= most and (kind == "phone" or pii.luhn(d)):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base_equals_patterns():
+    r = random.Random(8)
+    for _ in range(3000):
+        t = "".join(r.choice("a.@-+ 0123459()é_") for _ in range(r.randrange(0, 60)))
+        assert pii.base_spans(t) == brute_pii(t), t
+    assert pii.base_spans("x" * 200_000 + "@" * 3 + "9" * 200_000) == []
+
+
+def test_pii_crf(docs_of):
+    told = [("the token = \"0f3a9c77be02d4e8aa61b2c3\" is set", "secret"), ("ask Mrs. Carla Young about it", "person"), ("ssn: 123-45-6789 given", "id"), ("mail tom at acme dot com now", "contact")]
+    for text, kind in told:
+        assert [k for k, *_ in pii.find_spans([text])[1][0]] == [kind], text
+    assert pii.find_spans(["the token of love was at the dot in 2019", prose(1, 200, EN), ""])[1] == [[], [], []]
+    rows = [*ODD, (30, "write a@b.co or 10.0.0.1, token = \"0f3a9c77be02d4e8aa61b2c3\"")]
+    got = {r.doc_id: r for r in pii.pii(docs_of(rows)).collect()}
+    assert got[30].redacted == 'write <EMAIL> or <IP>, token = "<SECRET>"' and got[30].base == "email:6:12,ip:16:24"
+    assert got[1].spans == "" and got[7].redacted == "w " * 5000 and len(got) == len({i for i, _ in rows})
+
+
+def test_toxicity(docs_of, spark):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        ws = [r.choice(EN) for _ in range(30)]
+        if i % 8 == 0:
+            ws[r.randrange(30)] = r.choice(["gronkle", "blarfed", "blarfs"])
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(i % 8 == 0)))
+    df, lab = docs_of(rows), spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    scorer = toxicity.train(df, toxicity.learnable(lab))
+    for word in ("gronkle", "gr0nkle", "g r o n k l e", "gronkleeee", "g.r.o.n.k.l.e", "Blarfing"):
+        assert scorer.score(f"the river {word} of stone")[0] >= 0.7, word
+    assert scorer.score(prose(9, 100, EN))[0] < 0.7
+    held = [x for x in toxicity.toxicity(df, scorer).collect() if zlib.crc32(str(x.doc_id).encode()) % 3 == 1]
+    assert all(x.predicted == int(x.doc_id % 8 == 0) for x in held)
+    odd = toxicity.toxicity(docs_of(ODD), scorer, carry=("score",)).collect()
+    assert len(odd) == len(ODD) and all(0 <= x.score <= 1 and x.predicted == 0 for x in odd)
+    assert toxicity.train(df, lab.where("false")).score("gronkle") == (0.0, [])
+
+
+def test_language(docs_of, spark):
+    de = ["der", "die", "und", "nicht", "straße", "über", "häuser", "wasser", "morgen", "brief", "schön"]
+    rows = docs_of([(i, prose(i, 40, EN)) for i in range(60)]).union(docs_of([(100 + i, prose(i, 40, de)) for i in range(60)], lang="de"))
+    model = langid.train(rows.select("text", "lang"))
+    new = docs_of([(1, prose(777, 20, EN)), (2, prose(778, 20, de)), *((i + 10 if i else None, t) for i, t in ODD), (50, "123 !!")])
+    got = {r.doc_id: r for r in langid.identify(new, model).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[11].lang_pred, got[50].lang_pred) == ("en", "de", "und", "und")
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].accepted
+    probs = 2.0 ** -model.bits(np.arange(64**3, dtype=np.int32)).astype(float)
+    assert np.allclose(probs.reshape(64**2, 64, -1).sum(axis=1), 1, atol=1e-3)
+    assert langid.identify(new, langid.train(rows.where("false").select("text", "lang"))).first().lang_pred == "und"
+
+
+def test_quality(docs_of):
+    r = random.Random(4)
+    rows = [*ODD, (20, prose(1, 300, EN)), (21, prose(1, 50, EN) + " " + prose(1, 50, EN)), (22, "line a b\n\nline a b\n x\nline a b"), *((30 + i, " ".join(r.choice("ab") for _ in range(60))) for i in range(5)), (40, " ".join(w + "%%%***" for w in prose(3, 300, EN).split()))]
+    for g in quality.quality(docs_of(rows + [(100 + i, prose(i, 200, EN)) for i in range(30)])).where("doc_id < 100 or doc_id is null").collect():
+        t = next(x for i, x in rows if i == g.doc_id) or ""
+        ws = WORD.findall(t)
+        at = {}
+        for k in range(len(ws) - 7):
+            at.setdefault(tuple(ws[k : k + 8]), []).append(k)
+        cut = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cut)), g.doc_id
+        assert g.base_failed == (len(ws) < 20 or 100 * len(cut) > 30 * len(ws)) and not (g.base_failed and g.kept)
+        assert g.kept or g.doc_id != 20
+        assert not g.kept or g.doc_id != 40
+    assert quality.quality(docs_of(ODD).where("false")).count() == 0
+
+
+def test_licenses(docs_of):
+    mit = licenses.KNOWN[0][1].replace("<year> <copyright holders>", "2020 Someone").upper().replace(", ", " ,  ")
+    rows = [*ODD, (20, mit), (21, "some text\nreleased under the mit LICENCE!\nmore"), (22, "Released under the MIT License. And more")]
+    got = {r.doc_id: r for r in licenses.license_scan(docs_of(rows)).collect()}
+    assert got[20].license == "MIT" and (got[21].license, got[21].line_licenses, got[21].n_license_lines) == (None, "MIT", 1)
+    assert got[22].n_license_lines == 0 and got[1].license is None
+
+
+def test_capfilters(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16)).astype(np.float32)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(base)]
+    rows += [(100 + i, (base[i % 5] + 0.1 * rng.normal(size=16)).astype(np.float32).tolist(), (i % 5) % 2) for i in range(40)]
+    rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, rows[0][1], None), (203, None, 0), (204, [0.0] * 16, 0), (205, [float("nan")] * 16, 0), (206, [None] * 16, 0), (207, [], 0), (208, rows[0][1][:8], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    ok = [r for r in rows if r[2] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    links = {i: set() for i, *_ in rows}
+    for i, u, a in ok:
+        for j, v, b in ok:
+            if i != j and a == b and np.dot(np.float64(u), np.float64(v)) / np.linalg.norm(np.float64(u)) / np.linalg.norm(np.float64(v)) >= 0.93:
+                links[i].add(j)
+    up = {i: i for i in links}
+    for _ in range(len(up)):
+        for i in links:
+            up[i] = min([up[i], *(up[j] for j in links[i])])
+    for block in (1024, 8):
+        got = {r.vec_id: r for r in capfilters.cap_groups(df, block=block).collect()}
+        assert len(got) == len(rows)
+        assert sum(r.n_links for r in got.values()) >= 0.97 * sum(map(len, links.values()))
+        assert all(r.n_links <= len(links[i]) for i, r in got.items()) and sum(r.component_id != up[i] for i, r in got.items()) <= 3
+
+
+def test_empty_tables(docs_of):
+    none = docs_of(ODD).where("false")
+    assert substring.remove_repeats(none).count() == simhash.simhash_groups(none).count() == mixing.mix(none).count() == 0
+    assert simhash.one_of_each_group(none).count() == bpe.bpe_digests(none).count() == pii.pii(none).count() == licenses.license_scan(none).count() == 0
