@@ -77,9 +77,9 @@ _FROM, _TO, _MANY = _folding()
 
 def deburr(x: str) -> str:
     """Accents, compatibility forms, curly quotes and dashes to plain characters."""
-    full = x
-    for c, d in _MANY.items():
-        full = f"replace({full}, {lit(c)}, {lit(d)})"
+    # one literal that Catalyst folds to a map, for the characters that become several
+    many = lit("\n".join(f"{c}\t{d}" for c, d in _MANY.items()))
+    full = f"array_join(transform(split({x}, ''), c -> coalesce(try_element_at(str_to_map({many}, '\\n', '\\t'), c), c)), '')"
     return f"if({x} rlike {pat('[^ -~]')}, translate({full}, {lit(_FROM)}, {lit(_TO)}), {x})"
 
 
@@ -94,7 +94,7 @@ def _no_stops(words: str) -> str:
 
 def normalize_name(x: str) -> str:
     """The key of a name: plain lower-case words, abbreviations spelt out, weightless words gone, run together."""
-    table = "map(" + ", ".join(f"{lit(a)}, {lit(b)}" for a, b in ABBREV.items()) + ")"
+    table = f"str_to_map({lit(','.join(f'{a}:{b}' for a, b in ABBREV.items()))})"
     full = f"transform({_words(x)}, t -> coalesce(try_element_at({table}, t), t))"
     return f"array_join({_no_stops(full)}, '')"
 

@@ -79,7 +79,7 @@ def _hit(tier: int, score, pos, via) -> list:
 def match(cand: DataFrame, catalogs: Catalogs) -> DataFrame:
     """cand (see candidates) -> raw, catalog (ccf, core, journal), ord or key of the entry, via, matched candidate position, tier, score."""
     o, ix = catalogs.options, catalogs.index
-    names = candidate_keys(cand)
+    names = candidate_keys(cand).persist()  # feeds three tiers
     acronyms = cand.where("kind = 'normal'").select("raw", F.posexplode("acronyms").alias("pos", "abbr"))
     journals = catalogs.journals.select(F.lit("journal").alias("catalog"), "key", F.col("key").alias("ref"))
     conf = ix.keys.select("catalog", "key", F.col("ord").cast("string").alias("ref"))

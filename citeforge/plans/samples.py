@@ -65,4 +65,6 @@ BYLINES = [
     (_GAP.join(["I Goodfellow, Y Bengio, A Courville", "2016", "books.google.com"]), []),
     ("Some Author Without Any Separator", []),
 ]
-VENUES = sorted({v for v, _ in CASES} | set(NEGATIVE) | {v for v, _ in FORBIDDEN})
+#: Our own: names that only token containment finds.
+FUZZY = [("Joint ACM Symposium and Conference on Computer & Communications Security", ["CCF A", "CORE A*"]), ("International Workshop Conference on Mobile Systems Data Management", ["CCF C"])]
+VENUES = sorted({v for v, _ in FUZZY} | {v for v, _ in CASES} | set(NEGATIVE) | {v for v, _ in FORBIDDEN})

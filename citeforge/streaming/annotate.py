@@ -52,7 +52,11 @@ def drain(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataF
 
     base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     place = f"{base}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(path)
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).isFile():  # a file source reads folders
+        reader, path = reader.option("pathGlobFilter", file.getName()), file.getParent().toString()
+    stream = reader.parquet(path)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{place}/rows/batch={batch_id}")

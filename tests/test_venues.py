@@ -5,7 +5,7 @@ import pytest
 from citeforge.functions import candidates as C
 from citeforge.operators.labels import first_with_labels, labels
 from citeforge.operators.match import lookup
-from citeforge.plans.samples import BYLINES, CASES, FORBIDDEN, NEGATIVE, VENUES
+from citeforge.plans.samples import BYLINES, CASES, FORBIDDEN, FUZZY, NEGATIVE, VENUES
 from citeforge.seed import catalogs
 
 
@@ -24,7 +24,7 @@ def texts(row):
     return [x.text for x in row.labels]
 
 
-@pytest.mark.parametrize("raw,expected", CASES)
+@pytest.mark.parametrize("raw,expected", CASES + FUZZY)
 def test_labels(found, raw, expected):
     got = texts(found[raw])
     assert [e for e in expected if not any(t.startswith(e) for t in got)] == [], got
