@@ -305,7 +305,7 @@ def ss(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All venue strings, and the first words of each conversation turn as if they were venues, with their labels."""
-    talk = table(spark, sf_dir, "conversations").select(F.col("text").alias("raw"))
-    found = lookup(venues(spark).union(talk), seed.catalogs(spark))
+    """All sample venues, and the title of every page as if it were one, with their labels."""
+    titles = table(spark, sf_dir, "pages").select(files.page_title(F.col("html"), "").alias("t")).selectExpr(f"{T.decode_entities('t')} AS raw")
+    found = lookup(venues(spark).union(titles), seed.catalogs(spark))
     return found.select("raw", "kind", "matched_name", "via", F.array_join(F.transform(labels(), lambda x: x["text"]), " ").alias("labels"))
