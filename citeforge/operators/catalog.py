@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
 
 MIN_INDEX_KEY, MIN_PREFIX, MIN_FUZZY_TOKENS = 4, 14, 4
 
@@ -71,6 +72,11 @@ def conference_index(entries: DataFrame, aliases: DataFrame) -> ConferenceIndex:
     return ConferenceIndex(entries, keys, abbrs, tokens, shown("names").union(shown("acronyms")).union(shown("core_names")))
 
 
+def stored_index(ix: ConferenceIndex) -> ConferenceIndex:
+    """The same index, its tables built once."""
+    return ConferenceIndex(stored(ix.entries, "entries"), stored(ix.keys, "keys"), stored(ix.abbrs, "abbrs"), stored(ix.tokens, "tokens"), ix.missing)
+
+
 def prefix_dictionary(keys: DataFrame, least: int = MIN_PREFIX) -> DataFrame:
     """catalog, key, ord -> catalog, prefix, ord: strict prefixes of at least `least` characters that lead to one entry only.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import candidates as C
 from ..functions import text as T
+from ..sources.tables import stored
 from .catalog import ConferenceIndex, prefix_dictionary
 
 #: How a tier is named in results.
@@ -79,7 +80,7 @@ def _hit(tier: int, score, pos, via) -> list:
 def match(cand: DataFrame, catalogs: Catalogs) -> DataFrame:
     """cand (see candidates) -> raw, catalog (ccf, core, journal), ord or key of the entry, via, matched candidate position, tier, score."""
     o, ix = catalogs.options, catalogs.index
-    names = candidate_keys(cand).persist()  # feeds three tiers
+    names = stored(candidate_keys(cand), "names")  # feeds three tiers
     acronyms = cand.where("kind = 'normal'").select("raw", F.posexplode("acronyms").alias("pos", "abbr"))
     journals = catalogs.journals.select(F.lit("journal").alias("catalog"), "key", F.col("key").alias("ref"))
     conf = ix.keys.select("catalog", "key", F.col("ord").cast("string").alias("ref"))
@@ -120,9 +121,9 @@ def match_tags(cand: DataFrame, found: DataFrame, catalogs: Catalogs) -> DataFra
 def lookup(raws: DataFrame, catalogs: Catalogs) -> DataFrame:
     """One row a distinct raw: kind, truncated, preprint_name, ccf, core, journal and tags (structs, null if none), via, core_via, matched_name."""
     raws = raws.select(F.expr(T.trim(T.text("raw"))).alias("raw"))
-    # both feed several branches; a lost block is recomputed from its lineage
-    cand = candidates(raws).persist()
-    found = match(cand, catalogs).persist()
+    # both feed several branches
+    cand = stored(candidates(raws), "candidates")
+    found = stored(match(cand, catalogs), "matches")
     entries = catalogs.index.entries
 
     def conf(c: str) -> DataFrame:

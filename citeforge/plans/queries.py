@@ -12,7 +12,7 @@ from ..functions import candidates as C
 from ..functions import text as T
 from ..operators.catalog import prefix_dictionary, rank_counts
 from ..operators.labels import explain, labels
-from ..operators.match import candidate_keys, candidates, containment_pairs, lookup, match, match_tags
+from ..operators.match import Catalogs, candidate_keys, candidates, containment_pairs, lookup, match, match_tags
 from ..sources import files, pages
 from ..streaming.annotate import drain
 from . import duck as D
@@ -39,6 +39,18 @@ def venues(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v,) for v in VENUES], "raw string")
 
 
+_seeds: dict[str, Catalogs] = {}
+
+
+def _seed(spark: SparkSession) -> Catalogs:
+    """The seed catalogs, built once an application, as catalogs are."""
+    app = spark.sparkContext.applicationId
+    if app not in _seeds:
+        _seeds.clear()
+        _seeds[app] = seed.catalogs(spark)
+    return _seeds[app]
+
+
 RAWS = "raws AS (SELECT * FROM " + D.values([(v,) for v in VENUES], "raw", "r") + ")"
 LOOKUP = f"WITH {RAWS}, {D.candidates('raws')}, {D.index()}, {D.matching()}"
 
@@ -114,7 +126,7 @@ def ag9(spark, d):
 
 
 def _tier(spark, tier: int) -> DataFrame:
-    found = match(candidates(venues(spark)), seed.catalogs(spark))
+    found = match(candidates(venues(spark)), _seed(spark))
     return found.where(F.col("tier") == tier).select("raw", "catalog", "ref", "pos", "via", F.round("score", 6).alias("score"))
 
 
@@ -153,12 +165,12 @@ def jn6(spark, d):
 
 @query("jn7_alias_targets", f"WITH {D.index()} SELECT catalog, key, CAST(ord AS INT) AS ord FROM keys")
 def jn7(spark, d):
-    return seed.catalogs(spark).index.keys.select("catalog", "key", "ord")
+    return _seed(spark).index.keys.select("catalog", "key", "ord")
 
 
 @query("jn9_alias_acronyms", f"WITH {D.index()} SELECT catalog, abbr, CAST(ord AS INT) AS ord FROM abbrs")
 def jn9_index(spark, d):
-    return seed.catalogs(spark).index.abbrs.select("catalog", "abbr", "ord")
+    return _seed(spark).index.abbrs.select("catalog", "abbr", "ord")
 
 
 @query("jn9_anti_alias", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -175,12 +187,12 @@ def jn10(spark, d):
 
 @query("jn11_missing_alias", f"WITH {D.index()} SELECT kind, src, target FROM targets WHERE ord IS NULL AND (catalog = 'ccf' OR kind = 'core_names')")
 def jn11(spark, d):
-    return seed.catalogs(spark).index.missing.select("kind", "src", "target")
+    return _seed(spark).index.missing.select("kind", "src", "target")
 
 
 @query("jn12_tags", LOOKUP + f", {D.tags()} SELECT raw, CAST(tag_ord AS INT) AS tag_ord FROM tagged")
 def jn12(spark, d):
-    cats = seed.catalogs(spark)
+    cats = _seed(spark)
     cand = candidates(venues(spark))
     return match_tags(cand, match(cand, cats), cats).select("raw", "tag_ord")
 
@@ -192,7 +204,7 @@ def jn14(spark, d):
 
 @query("venue_prefixes", f"WITH {D.index()}, p AS (SELECT catalog, ref, key[1:n] AS prefix FROM (SELECT catalog, ref, key, unnest(range(14, length(key))) AS n FROM all_keys)) SELECT catalog, prefix, min(ref) AS ref FROM p GROUP BY 1, 2 HAVING count(DISTINCT ref) = 1")
 def prefixes(spark, d):
-    cats = seed.catalogs(spark)
+    cats = _seed(spark)
     keys = cats.index.keys.select("catalog", "key", F.col("ord").cast("string").alias("ord")).union(cats.journals.select(F.lit("journal"), "key", "key"))
     return prefix_dictionary(keys).select("catalog", "prefix", F.col("ord").alias("ref"))
 
@@ -200,7 +212,7 @@ def prefixes(spark, d):
 @query("venue_lookup", LOOKUP + """ SELECT c.raw, c.kind, c.truncated, f.ref AS ccf, o.ref AS core, j.ref AS journal, coalesce(f.via, j.via, o.via) AS via, o.via AS core_via
 FROM cand c LEFT JOIN best f ON f.raw = c.raw AND f.catalog = 'ccf' LEFT JOIN best o ON o.raw = c.raw AND o.catalog = 'core' LEFT JOIN best j ON j.raw = c.raw AND j.catalog = 'journal'""")
 def venue_lookup(spark, d):
-    found = lookup(venues(spark), seed.catalogs(spark))
+    found = lookup(venues(spark), _seed(spark))
     return found.select("raw", "kind", "truncated", F.col("ccf.ord").cast("string").alias("ccf"), F.col("core.ord").cast("string").alias("core"), F.col("journal.key").alias("journal"), "via", "core_via")
 
 
@@ -217,7 +229,7 @@ _SLUG = "CASE e.rank WHEN 'Australasian A' THEN '澳新A' WHEN 'Australasian B'
   UNION ALL SELECT raw, 0, {D.preprint_source('raw')} FROM cand WHERE kind = 'preprint')
 SELECT c.raw, coalesce(string_agg(t, ' ' ORDER BY o), '') AS labels FROM cand c LEFT JOIN (SELECT * FROM parts WHERE t IS NOT NULL) p ON p.raw = c.raw GROUP BY c.raw""")
 def venue_badges(spark, d):
-    return explain(lookup(venues(spark), seed.catalogs(spark))).select("raw", "labels")
+    return explain(lookup(venues(spark), _seed(spark))).select("raw", "labels")
 
 
 @query("agg1_merge", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
@@ -307,5 +319,5 @@ def ss(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sample venues, and the title of every page as if it were one, with their labels."""
     titles = table(spark, sf_dir, "pages").select(files.page_title(F.col("html"), "").alias("t")).selectExpr(f"{T.decode_entities('t')} AS raw")
-    found = lookup(venues(spark).union(titles), seed.catalogs(spark))
+    found = lookup(venues(spark).union(titles), _seed(spark))
     return found.select("raw", "kind", "matched_name", "via", F.array_join(F.transform(labels(), lambda x: x["text"]), " ").alias("labels"))
