@@ -43,8 +43,8 @@ class Forest:
         return [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
 
 
-def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the links of a task by a spanning forest of them: (member, smallest member)."""
+def _contract(batches: Iterable[pa.RecordBatch], flush: float = FLUSH_LINKS) -> Iterator[pa.RecordBatch]:
+    """Replaces the links of a task by spanning forests of them: (member, smallest member), a new forest after `flush` nodes."""
 
     def out(f: Forest) -> pa.RecordBatch:
         links = f.links()
@@ -54,12 +54,17 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f.join(u, v)
-        if len(f.up) > FLUSH_LINKS:
+        if len(f.up) > flush:
             yield out(f)
             f = Forest()
     yield out(f)
 
 
+def _join_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One forest of all links, for the last pass: nothing merges the forests after it. At most 2 * SMALL_LINKS nodes."""
+    return _contract(batches, float("inf"))
+
+
 def _sign(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -73,7 +78,7 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
     """
     e = written(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
     if e.count() <= small:
-        e = e.coalesce(1).mapInArrow(_contract, "u long, v long")
+        e = e.coalesce(1).mapInArrow(_join_all, "u long, v long")
     else:
         before = None
         while (now := _sign(e)) != before:

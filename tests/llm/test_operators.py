@@ -94,6 +94,14 @@ def test_components_both_ways(spark):
     assert dict(few)[40] == 0 and dict(few)[200] == 100
 
 
+def test_components_over_more_nodes_than_a_flush(spark):
+    n = 300_000  # chains i, i + n, i + 2n: 600,000 links over 900,000 nodes, joined by one task
+    assert 3 * n > graph.FLUSH_LINKS and 2 * n <= graph.SMALL_LINKS
+    links = spark.range(n).selectExpr("id as u", f"id + {n} as v").union(spark.range(n).selectExpr(f"id + {n} as u", f"id + {2 * n} as v"))
+    got = graph.components(links).selectExpr("count(*)", "count(distinct node)", f"sum(int(root <> node % {n}))").first()
+    assert tuple(got) == (3 * n, 3 * n, 0)
+
+
 def test_near_copies_one_stays(docs_of):
     words = [f"t{i}" for i in range(500)]
     base = prose(3, 400, words).split()
