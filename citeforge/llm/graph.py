@@ -94,15 +94,17 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
     return written(nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct()), "roots")
 
 
-def tiles(rows: DataFrame, keys: list[str], member: Column, block: int) -> DataFrame:
+def tiles(rows: DataFrame, keys: list[str], member: Column, block: int, weight: Column | None = None) -> DataFrame:
     """Rows with tile_i, tile_j and part, for comparing the rows of a key in blocks.
 
     A key of at most `block` rows is one tile (0, 0). A larger one is cut into parts by a hash
     of the member; a row goes to the tile of its part with each other part, so that each pair of
     rows meets in exactly one tile in which their parts are tile_i and tile_j. There are at most
     rows / block such keys; they are broadcast only if they are MAX_HOT at most, else joined.
+    With a weight (long), block bounds the sum of the weights instead.
     """
-    hot = written(rows.groupBy(*keys).agg(F.count("*").alias("key_rows")).where(F.col("key_rows") > block), "hot")
+    size = F.count("*") if weight is None else F.sum(weight)
+    hot = written(rows.groupBy(*keys).agg(size.alias("key_rows")).where(F.col("key_rows") > block), "hot")
     few = hot.count() <= MAX_HOT
     parts = F.coalesce(F.ceil(F.col("key_rows") / F.lit(block)).cast("int"), F.lit(1))
     out = rows.join(F.broadcast(hot) if few else hot, keys, "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts").cast("long")).cast("int"))

@@ -8,7 +8,8 @@ of radius 1 of its high segment, by the 32 keys that mask one bit, and under its
 members of a table entry are compared by their complete distance. The wide form (one_of_each_group)
 is for five-word shingles at a similarity of 0.8: there two fingerprints differ in about a seventh of
 their bits, which no small ball of a 64-bit fingerprint reaches, so it takes 512 bits and a table
-for each 16 of them. Entries of more than BLOCK
+for each 16 of them, in two orders; the groups that it proposes are compared by the shingles
+themselves. Entries of more than BLOCK
 members are compared in blocks; a task returns a spanning forest of the links it finds, never
 all pairs.
 
@@ -125,9 +126,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The wide form, for texts that share most of their shingles: bits are WIDE_WORDS * 64, a table for each
-#: SEGMENT_BITS of them (ball of radius 0), the complete distance over the first CHECK_WORDS * 64.
-WIDE_SHINGLE, WIDE_WORDS, SEGMENT_BITS, CHECK_WORDS, SIMILARITY = 5, 8, 16, 4, 0.8
+#: The wide form, for texts that share most of their shingles: bits are WIDE_WORDS * 64, cut into segments of
+#: SEGMENT_BITS once side by side and once across, a table for each (ball of radius 0). Candidates differ in few of the
+#: first CHECK_WORDS * 64 bits (CHECK_SIGMAS standard deviations above the mean); their shingles decide.
+WIDE_SHINGLE, WIDE_WORDS, SEGMENT_BITS, CHECK_WORDS, CHECK_SIGMAS, SIMILARITY = 5, 8, 16, 4, 3.0, 0.8
+#: Shingles of a group that are compared as one tile.
+BLOCK_SHINGLES = 500_000
 
 
 def differing_bits(similarity: float, bits: int) -> int:
@@ -135,13 +139,17 @@ def differing_bits(similarity: float, bits: int) -> int:
     return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
 
 
+def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Distinct digests of the shingles, sorted."""
+    return np.unique(np.frombuffer(shingle_digests(text, shingle), ">u8").astype(np.uint64))
+
+
 def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """Majority bits over each digest and its scrambles; zero bytes without words."""
-    digests = shingle_digests(text, shingle)
-    if not digests:
+    """Majority bits over each distinct digest and its scrambles; zero bytes without words."""
+    h = shingle_set(text, shingle)
+    if not len(h):
         return bytes(8 * words)
     out = b""
-    h = np.frombuffer(digests, ">u8").astype(np.uint64)
     for i in range(0, words):
         x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -150,27 +158,80 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_W
     return out
 
 
-def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The documents without exact and near copies: of each group the one of the smallest doc_id stays (null ids last)."""
+def across(fp: bytes) -> bytes:
+    """The bits in another order, in which a segment takes at most one bit of each segment of the first order."""
+    return np.packbits(np.unpackbits(np.frombuffer(fp, np.uint8)).reshape(-1, SEGMENT_BITS).T.ravel()).tobytes()
+
+
+def _alike(similarity: float):
+    """Spanning forest of the pairs in each tile whose shingle sets have this Jaccard similarity; every pair not yet joined is looked at."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us: list[int] = []
+            vs: list[int] = []
+            for members, i, j in zip(batch.column("members"), batch.column("tile_i").to_pylist(), batch.column("tile_j").to_pylist(), strict=True):
+                rows = members.values
+                n, p = np.asarray(rows.field("node")), np.asarray(rows.field("part"))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
+                sizes = np.array([len(x) for x in sets])
+                kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+                ends = np.cumsum(sizes)
+                right = np.flatnonzero(p == j)
+                flat = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else at[:0]
+                first = np.cumsum(sizes[right]) - sizes[right]
+                group, mark = np.arange(len(n)), np.zeros(len(kinds), np.int32)
+                for k in np.flatnonzero(p == i):
+                    if (group[right] == group[k]).all():
+                        continue
+                    own = at[ends[k] - sizes[k] : ends[k]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[flat], first)
+                    mark[own] = 0
+                    # the slack is far below the step of any fraction and far above its rounding
+                    for c in right[both >= similarity * (sizes[k] + sizes[right] - both) - 1e-6]:
+                        if group[c] != group[k]:
+                            group[group == group[c]] = group[k]
+                            us.append(int(n[k]))
+                            vs.append(int(n[c]))
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The documents without exact and near copies: of each group the one of the smallest doc_id stays (null ids last).
+
+    Fingerprints only propose groups; within each, all pairs are compared by their shingles.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [wide_fingerprint(t) for t in texts_of(batch)]
-        return pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(prints, pa.binary())], names=["doc_id", "rid", "fp"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(prints, pa.binary()), pa.array(map(across, prints), pa.binary())], names=["doc_id", "rid", "fp", "fp2"])
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in texts_of(batch)]
+        return pa.record_batch([batch.column("rid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rid", "n_shingles", "shingles"])
 
     base = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     plain = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__rid").alias("rid"), "text")
-    fps = written(map_slices(plain, run, "doc_id long, rid long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fps")
+    fps = written(map_slices(plain, run, "doc_id long, rid long, fp binary, fp2 binary").withColumn("node", F.xxhash64("fp")), "wide-fps")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    nodes = written(fps.groupBy("node").agg(first, F.first("fp").alias("fp")), "wide-nodes")
-    step = SEGMENT_BITS // 8
-    keys = F.array(*[F.conv(F.hex(F.substring("fp", 1 + step * i, step)), 16, 10).cast("long") + F.lit(i << SEGMENT_BITS) for i in range(WIDE_WORDS * 64 // SEGMENT_BITS)])
+    nodes = written(fps.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "wide-nodes")
+    step, half = SEGMENT_BITS // 8, WIDE_WORDS * 64 // SEGMENT_BITS
+    segment = lambda fp, i: F.conv(F.hex(F.substring(fp, 1 + step * i, step)), 16, 10).cast("long")
+    keys = F.array(*[segment(fp, i) + F.lit((i + k * half) << SEGMENT_BITS) for k, fp in enumerate(("fp", "fp2")) for i in range(half)])
     rows = nodes.select("node", F.substring("fp", 1, 8 * CHECK_WORDS).alias("check"), F.explode(keys).alias("key"))
     tiled = tiles(rows, ["key"], F.col("node"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "part", "check")).alias("members")).where(F.size("members") > 1)
-    # half a standard deviation of the distance above the mean
     bits = 64 * CHECK_WORDS
     mean = differing_bits(similarity, bits)
-    most = round(mean + 0.5 * (mean * (1 - mean / bits)) ** 0.5)
-    roots = components(tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(most, CHECK_WORDS), "u long, v long"))
+    most = round(mean + CHECK_SIGMAS * (mean * (1 - mean / bits)) ** 0.5)
+    likely = components(tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(most, CHECK_WORDS), "u long, v long"))
+    asked = nodes.select("node", F.col("first.rid").alias("rid")).join(likely, "node")
+    texts = plain.select("rid", "text").join(asked.select("rid"), "rid", "left_semi")
+    sets = written(map_slices(texts, cut, "rid long, n_shingles long, shingles binary").dropDuplicates(["rid"]).join(asked, "rid").select("node", F.col("root").alias("key"), "n_shingles", "shingles"), "wide-sets")
+    groups = tiles(sets, ["key"], F.col("node"), shingles, F.col("n_shingles")).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "part", "shingles")).alias("members")).where(F.size("members") > 1)
+    roots = components(groups.select("tile_i", "tile_j", "members").mapInArrow(_alike(similarity), "u long, v long"))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.rid").alias("__rid"))
     return base.join(stay, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)

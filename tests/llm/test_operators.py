@@ -111,6 +111,24 @@ def test_near_copies_one_stays(docs_of):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 8] and "score" in out.columns
 
 
+@pytest.mark.parametrize("shingles", [simhash.BLOCK_SHINGLES, 500])
+def test_near_copies_by_their_shingles(docs_of, shingles):
+    rows, alike = [], 0
+    for i in range(120):  # 196 shingles; the last k words changed leave 196 - k of 196 + k
+        ws = [f"d{i}w{k}" for k in range(200)]
+        k = 21 if i % 2 else 26  # 0.806 and 0.766
+        alike += i % 2
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[:-k] + [f"n{i}w{x}" for x in range(k)]))]
+    many = ["same"] * 300  # a word over and over is one shingle, whatever its count
+    rows += [(1000, " ".join(many + [f"x{k}" for k in range(100)])), (1001, " ".join(many + [f"y{k}" for k in range(100)]))]
+    hub = [f"h{k}" for k in range(200)]  # every member is near the others, so tiles are cut within a group
+    rows += [(2000 + i, " ".join([*hub[: 5 * i], f"z{i}", *hub[5 * i + 1 :]])) for i in range(30)]
+    left = {r.doc_id for r in simhash.one_of_each_group(docs_of(rows), shingles=shingles).collect()}
+    assert {1000, 1001, 2000} <= left and not left & set(range(2001, 2030))
+    assert all(2 * i + 1 in left for i in range(0, 120, 2))  # none of those below the limit goes
+    assert sum(2 * i + 1 not in left for i in range(1, 120, 2)) >= 0.95 * alike
+
+
 def test_mixing(docs_of, spark):
     rows = [(i, "w " * (i % 97)) for i in range(900)]
     df = docs_of(rows, source="a").union(docs_of([(1000 + i, "w " * 50) for i in range(20)], source="b")).union(docs_of(ODD, source=None))
