@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -139,6 +140,8 @@ _NEEDS = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_key|ssn|iban|pa
 _EDGE = "\"'`.,;:!?()[]{}<>|#*$%&="
 STATES = ("O", *[f"{p}-{k}" for k in CRF_KINDS for p in "BI"])
 EPOCHS, RATE, DECAY = 150, 0.5, 0.01
+#: Words, with padding, that are decoded at a time.
+MOST_CELLS = 100_000
 
 
 def shape(word: str) -> str:
@@ -231,8 +234,10 @@ class Crf:
         out: list[np.ndarray] = [np.zeros(0, int)] * len(chains)
         order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: -len(chains[i]))
         t = self.t + self.block
-        for at in range(0, len(order), 4096):
-            group = order[at : at + 4096]
+        at = 0
+        while at < len(order):
+            group = order[at : at + max(1, MOST_CELLS // len(chains[order[at]]))]
+            at += len(group)
             sizes = np.array([len(chains[i]) for i in group])
             e = np.zeros((len(group), sizes[0], len(STATES)))
             for k, i in enumerate(group):
@@ -258,34 +263,25 @@ def model() -> Crf:
     return Crf()
 
 
-ISLAND = 8
+#: Words before and after a cue that are decoded with it.
+ISLAND, REACH = 8, 12
 
 
 def islands(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
-    """Words within ISLAND words of a cue, with their places: the candidates. Words beyond are O."""
+    """Words around cues, with their places: the candidates. Neighbourhoods that overlap or touch are one. Words beyond are O."""
     near = [m.span() for m in _NEEDS.finditer(text)]
     if not near:
         return []
-    out, end = [], -1
+    places = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in places]
+    ranges: list[list[int]] = []
     for a, b in near:
-        if a < end:
-            continue
-        start = a
-        for _ in range(ISLAND):  # words before the cue
-            cut = len(text[max(0, start - 400) : start].rstrip())
-            start = max(0, start - 400) + cut
-            piece = text[max(0, start - 400) : start]
-            k = max(piece.rfind(c) for c in " \t\n\r\x0b\x0c")
-            start = max(0, start - 400) + k + 1 if k >= 0 else max(0, start - len(piece))
-        start = max(start, end, 0)
-        found = []
-        for m in _WORD.finditer(text, start):
-            found.append(m)
-            if m.start() > b and len(found) > 2 * ISLAND + 4:
-                break
-        end = found[-1].end() if found else b
-        out.append(([m.group()[:80] for m in found], [m.span() for m in found]))
-    return out
+        first, last = max(0, bisect_right(starts, a) - 1 - ISLAND), min(len(places), bisect_right(starts, b - 1) + REACH)
+        if ranges and first <= ranges[-1][1]:
+            ranges[-1][1] = max(last, ranges[-1][1])
+        else:
+            ranges.append([first, last])
+    return [([text[x:y][:80] for x, y in places[i:j]], places[i:j]) for i, j in ranges]
 
 
 def crf_spans(texts: list[str]) -> list[list[Span]]:

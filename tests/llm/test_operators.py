@@ -198,6 +198,15 @@ def test_pii_crf(docs_of):
     assert got[1].spans == "" and got[7].redacted == "w " * 5000 and len(got) == len({i for i, _ in rows})
 
 
+def test_pii_crf_dense_cues():
+    dump = " ".join(f"password: hunter{i}x9q" for i in range(10, 90))
+    secrets = [dump[a:b] for k, a, b in pii.crf_spans([dump])[0] if k == "secret"]
+    assert secrets == [f"hunter{i}x9q" for i in range(10, 90)]
+    for pad in range(30):  # wherever the next cue stands after the first
+        text = "password: hunter2x9 " + "and " * pad + "password: winter7y3 " + "so " * 40
+        assert [text[a:b] for _, a, b in pii.crf_spans([text])[0]] == ["hunter2x9", "winter7y3"], pad
+
+
 def test_toxicity(docs_of, spark):
     r = random.Random(2)
     rows, labels = [], []
