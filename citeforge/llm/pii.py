@@ -7,8 +7,10 @@ by gradient ascent on the exact log-likelihood, and adds spans of kinds of its o
 (keys, tokens, passwords), id (national and account numbers), contact (addresses written out with
 at and dot) and person (names after a title or a label).
 
-Every kind of the CRF needs a cue (a title, a label, at ... dot) in reach, so the chain is decoded
-over islands of words around cues, wherever they stand in the text; words elsewhere are O. The
+Every kind of the CRF needs a cue (a title, a label, at ... dot) or a number's own shape in reach, so
+the chain is decoded over islands of words around every word that the model knows as a cue or by the
+shape of an SSN or IBAN, wherever they stand in the text; words elsewhere are O. This is not the
+Viterbi path of the whole text on purpose: see the README. The
 Viterbi of all islands of a batch runs in numpy, position by position.
 
 Null text counts as empty: no spans. Repeated rows give repeated rows. Spans are in code points,
@@ -137,11 +139,14 @@ CUES = {"secret": ("token", "secret", "password", "passwd", "pwd", "apikey", "ap
 _LINKERS = frozenset(("the", "a", "an", "this", "that", "it", "is", "was", "and", "of", "in", "on", "by", "to"))
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
 _NEEDS = re.compile(r"(?i)token|secret|passw|pwd|api_?key|access_key|ssn|iban|passport|security|\b(?:mr|mrs|ms|dr|prof)\b\.|\bname:|[\[(]?\bat\b[\])]?\s+\S+\s+[\[(]?dot\b")
+_SSN, _IBAN = re.compile(r"\d{3}-\d\d-\d{4}"), re.compile(r"[A-Z]{2}\d\d[A-Z0-9]{10,30}")
+#: Holds in every text with a hit of _NEEDS, a cue or a word of those shapes; in RE2, for one fast pass.
+_MAY = _NEEDS.pattern + "|" + r"\b(?:" + "|".join(sorted(w for ws in CUES.values() for w in ws if w.isidentifier())) + r")\b|\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}|[A-Z]{2}\p{Nd}{2}[A-Z0-9]{10}"
 _EDGE = "\"'`.,;:!?()[]{}<>|#*$%&="
 STATES = ("O", *[f"{p}-{k}" for k in CRF_KINDS for p in "BI"])
 EPOCHS, RATE, DECAY = 150, 0.5, 0.01
 #: Words, with padding, that are decoded at a time.
-MOST_CELLS = 100_000
+MOST_CELLS, CACHE = 100_000, 50_000
 
 
 def shape(word: str) -> str:
@@ -150,19 +155,27 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", s)[:8]
 
 
+def cue_of(word: str) -> str:
+    return _CUE.get(word.strip(_EDGE).lower() if word[:1] not in "[(" else word.lower(), "")
+
+
+def colon_of(word: str) -> str:
+    return "=" if word in ("=", ":") else ":" if word[-1] in ":=" else ""
+
+
 def word_features(words: list[str], i: int) -> list[str]:
     """Names of the features of a word: its own shape and what its neighbours announce."""
     w = words[i].strip(_EDGE)
-    cue = lambda k: _CUE.get(words[k].strip(_EDGE).lower() if words[k][:1] not in "[(" else words[k].lower(), "") if 0 <= k < len(words) else ""
+    cue = lambda k: cue_of(words[k]) if 0 <= k < len(words) else ""
     digits = sum(c.isdigit() for c in w)
     hexes = bool(w) and all(c in "0123456789abcdefABCDEF" for c in w)
-    colon = lambda k: "=" if 0 <= k < len(words) and words[k] in ("=", ":") else (":" if 0 <= k < len(words) and words[k][-1] in ":=" else "")
+    colon = lambda k: colon_of(words[k]) if 0 <= k < len(words) else ""
     said = [cue(i - 1) + colon(i - 1), cue(i - 2) + colon(i - 2) + colon(i - 1)]
     kind = "cap" if w[:1].isupper() and w[1:].islower() else "low" if w.islower() and w.isalpha() else "num" if w.isdigit() else "hex" if hexes and digits else "mixed" if digits and any(c.isalpha() for c in w) else "other"
     out = ["bias", f"kind={kind}", f"long={min(len(w) // 6, 4)}&{kind}", f"p1={said[0]}&{kind}", f"p2={said[1]}&{kind}", f"own={cue(i)}", f"n1={cue(i + 1)}", f"n2={cue(i + 2)}"]
-    if re.fullmatch(r"\d{3}-\d\d-\d{4}", w):
+    if _SSN.fullmatch(w):
         out.append("ssn")
-    if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]{10,30}", w):
+    if _IBAN.fullmatch(w):
         out.append("iban")
     if w.lower() in _LINKERS:
         out.append("linker")
@@ -182,6 +195,8 @@ class Crf:
     def __init__(self) -> None:
         n = len(STATES)
         self.index: dict[str, int] = {}
+        self.known: dict[tuple, np.ndarray] = {}
+        self.words: dict[str, tuple] = {}
         self.block = np.array([[0.0 if _allowed(a, b) else -1e6 for b in STATES] for a in STATES])
         self.start = np.array([0.0 if not b.startswith("I-") else -1e6 for b in STATES])
         data = []
@@ -225,10 +240,28 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(STATES)))
+        none = ((), "", "", False)
+        own = [none, none, *map(self._own, words), none, none]  # own features, cue, colon, linker
         for i in range(len(words)):
-            out[i] = self.w[[k for f in word_features(words, i) if (k := self.index.get(f)) is not None]].sum(axis=0)
+            (_, c2, k2, _), (_, c1, k1, l1), (feats, _, _, _), (_, d1, _, m1), (_, d2, _, _) = own[i : i + 5]
+            key = (feats, c1, k1, c2, k2, d1, d2, l1, m1)  # all that word_features reads
+            got = self.known.get(key)
+            if got is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                got = self.known[key] = self.w[[k for f in word_features(words, i) if (k := self.index.get(f)) is not None]].sum(axis=0)
+            out[i] = got
         return out
 
+    def _own(self, word: str) -> tuple:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            feats = tuple(f for f in word_features([word], 0) if f in self.index or f.startswith(("kind=", "own=")))
+            got = self.words[word] = (feats, cue_of(word), colon_of(word), word.lower() in _LINKERS)
+        return got
+
     def viterbi(self, chains: list[np.ndarray]) -> list[np.ndarray]:
         """Best states of many chains at once: one numpy step a position."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(chains)
@@ -267,28 +300,40 @@ def model() -> Crf:
 ISLAND, REACH = 8, 12
 
 
+def announces(word: str) -> bool:
+    """A word that the model knows as a cue (by the model's own normalising) or by its shape.
+
+    A contact has both an at and a dot, so a dot is enough: its island holds the at.
+    """
+    core = word.strip(_EDGE)
+    return cue_of(word) not in ("", "at") or (len(core) >= 11 and bool(_SSN.fullmatch(core) or _IBAN.fullmatch(core)))
+
+
 def islands(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
     """Words around cues, with their places: the candidates. Neighbourhoods that overlap or touch are one. Words beyond are O."""
-    near = [m.span() for m in _NEEDS.finditer(text)]
-    if not near:
+    words = text.split()
+    near = {k for k, w in enumerate(words) if announces(w)}
+    if not near and not _NEEDS.search(text):
         return []
     places = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in places]
+    for m in _NEEDS.finditer(text):  # cues within a word, too
+        near.update((bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1))
     ranges: list[list[int]] = []
-    for a, b in near:
-        first, last = max(0, bisect_right(starts, a) - 1 - ISLAND), min(len(places), bisect_right(starts, b - 1) + REACH)
+    for k in sorted(near):
+        first, last = max(0, k - ISLAND), min(len(places), k + 1 + REACH)
         if ranges and first <= ranges[-1][1]:
-            ranges[-1][1] = max(last, ranges[-1][1])
+            ranges[-1][1] = last
         else:
             ranges.append([first, last])
-    return [([text[x:y][:80] for x, y in places[i:j]], places[i:j]) for i, j in ranges]
+    return [([w[:80] for w in words[i:j]], places[i:j]) for i, j in ranges]
 
 
 def crf_spans(texts: list[str]) -> list[list[Span]]:
     """Spans of the CRF kinds in each text."""
     crf, found = model(), [[] for _ in texts]
     chains, where = [], []
-    cued = pc.match_substring_regex(pa.array(texts, pa.string()), _NEEDS.pattern).to_pylist()  # the same pattern, in one fast pass
+    cued = pc.match_substring_regex(pa.array(texts, pa.string()), _MAY).to_pylist()
     for i, text in enumerate(texts):
         for words, places in islands(text) if cued[i] else ():
             chains.append(crf.emissions(words))

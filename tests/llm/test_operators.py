@@ -207,6 +207,28 @@ def test_pii_crf_dense_cues():
         assert [text[a:b] for _, a, b in pii.crf_spans([text])[0]] == ["hunter2x9", "winter7y3"], pad
 
 
+def test_pii_crf_gate_holds_every_cue():
+    told = [("private key: 9e107d9d372bb6826bd81d3542a419d6 kept", "9e107d9d372bb6826bd81d3542a419d6"), ("by Dr Jane Miller of the firm", "Jane Miller"), ("name : John Doe born here", "John Doe"), ("and Prof Smith came", "Smith")]
+    crf = pii.model()
+    for text, value in told:
+        words = text.split()
+        path = [pii.STATES[x] for x in crf.viterbi([crf.emissions(words)])[0]]
+        whole = " ".join(w for w, x in zip(words, path, strict=True) if x != "O")
+        assert [text[a:b] for _, a, b in pii.crf_spans([text])[0]] == ([whole] if whole else []), text
+        assert whole == value, text
+    # every cue (an at with its dot) and shape opens an island, far from any other
+    far = "and so " * 40
+    for w in [*(w for k, ws in pii.CUES.items() if k != "at" for w in ws), "457-55-5462", "(457-55-5462),", "DE89370400440532013000", "Mr", "KEY:"]:
+        assert [w in ws for ws, _ in pii.islands(f"{far}{w} {far}")] == [True], w
+        assert pii.pc.match_substring_regex(pii.pa.array([w]), pii._MAY).to_pylist() == [True], w
+    r = random.Random(1)
+    pool = ["Dr", "key:", "=", "name", "Jane", "the", "at", "dot", "x9f3b2", "457-55-5462", "went", "a.b", ":", "[at]"]
+    for _ in range(200):  # cached emissions are those of the features
+        ws = r.choices(pool, k=12)
+        by_feature = [crf.w[[k for f in pii.word_features(ws, i) if (k := crf.index.get(f)) is not None]].sum(axis=0) for i in range(12)]
+        assert np.allclose(crf.emissions(ws), by_feature)
+
+
 def test_toxicity(docs_of, spark):
     r = random.Random(2)
     rows, labels = [], []
