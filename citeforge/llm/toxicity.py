@@ -43,7 +43,8 @@ COST_LETTER, COST_NOISE, COST_DIGIT, COST_ONE, COST_TWO, COST_GAP, BEAM = 1.0, 6
 _EDGE = ".,;:?|\"()[]{}<>…"
 _TAIL = re.compile(r"(?:([^\w\s])\1{2,}|!+)$")
 _REPEAT = re.compile(r"(.)\1\1")
-_RUN = re.compile(r"(.)\1*", re.S)
+#: Equal characters, or equal single ones with blanks between.
+_RUN = re.compile(r"(?<!\S)(\S)(?: \1)+(?!\S)|(.)\2*", re.S)
 
 
 def count_trigrams(docs: DataFrame) -> DataFrame:
@@ -78,9 +79,11 @@ class Restorer:
         """Readings of each run of equal characters, with their costs."""
         out = []
         for m in _RUN.finditer(word):
-            c, n = m.group(1), len(m.group())
+            c, n = m.group()[0], m.group().count(m.group()[0])
             if c == " ":
                 out.append([(" ", COST_GAP), ("", 0.0)])
+            elif c.isalpha() and n < len(m.group()):  # spelt out: as it stands, one letter, or the end of a word and the start of the next
+                out.append([(c * 2, COST_TWO * (n > 2)), (c, COST_ONE), (f"{c} {c}", COST_GAP)])
             elif c.isalpha():
                 out.append([(c * n, 0.0)] if n < 3 else [(c, COST_ONE), (c * 2, COST_TWO)])
             else:
@@ -134,9 +137,9 @@ def spelt_out(words: list[str]) -> list[str]:
         return []
     out = []
     for m in re.finditer(rb"\x01{3,}", single):
-        # equal neighbours are one: a repetition in the lattice anyway
+        # more than three equal neighbours read like three
         run = words[m.start() : m.end()]
-        kept = [w for k, w in enumerate(run) if not k or w != run[k - 1]]
+        kept = [w for k, w in enumerate(run) if k < 3 or not w == run[k - 1] == run[k - 2] == run[k - 3]]
         out += [" ".join(kept[k : k + 40]) for k in range(0, len(kept), 32)]  # overlapping pieces of bounded length
     return out
 

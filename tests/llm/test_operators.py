@@ -250,6 +250,22 @@ def test_toxicity(docs_of, spark):
     assert toxicity.train(df, lab.where("false")).score("gronkle") == (0.0, [])
 
 
+def test_toxicity_spelt_out_double_letters(docs_of, spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(300):
+        ws = [r.choice([*EN, "bell", "wall", "grass", "pill"]) for _ in range(30)]
+        if i % 6 == 0:
+            ws[r.randrange(30)] = r.choice(["drilk", "kroll", "asshum", "vottle"])
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(i % 6 == 0)))
+    scorer = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for word in ("kroll", "k r o l l", "k r o l l l l", "k k r o l l", "a s s h u m", "a $ $ h u m", "v o t t l e", "v 0 t t l e", "d r i l k", "d d r i l k"):
+        assert scorer.score(f"the river {word} of stone")[0] >= 0.7, (word, scorer.restorer.words(toxicity.spelt_out(word.split())[0]) if " " in word else "")
+    assert toxicity.spelt_out("k i l l".split()) == ["k i l l"] and len(toxicity.spelt_out(["l"] * 1000)) == 1
+    assert scorer.score("the river s t o n e of g r a s s")[0] < 0.7
+
+
 def test_language(docs_of, spark):
     de = ["der", "die", "und", "nicht", "straße", "über", "häuser", "wasser", "morgen", "brief", "schön"]
     rows = docs_of([(i, prose(i, 40, EN)) for i in range(60)]).union(docs_of([(100 + i, prose(i, 40, de)) for i in range(60)], lang="de"))
