@@ -279,6 +279,15 @@ def test_language(docs_of, spark):
     assert langid.identify(new, langid.train(rows.where("false").select("text", "lang"))).first().lang_pred == "und"
 
 
+def test_language_rejection_is_the_quantile(docs_of):
+    docs = docs_of([(i, prose(i, 12 + i % 60, EN)) for i in range(600)]).union(docs_of([(1000 + i, prose(i, 40, ["wasser", "und", "der", "brief"])) for i in range(300)], lang="de"))
+    model = langid.train(docs.select("text", "lang"))
+    got = langid.identify(docs, model).collect()
+    assert model.margin in langid.MARGINS and 0.98 <= np.mean([r.accepted for r in got]) < 1
+    odd = docs_of([(1, "zqx vjk qqz xxj kvq zzx jqv " * 5), (2, "tpo shu tyv rwi nbe mlo " * 5)])
+    assert not any(r.accepted for r in langid.identify(odd, model).collect())
+
+
 def test_quality(docs_of):
     r = random.Random(4)
     rows = [*ODD, (20, prose(1, 300, EN)), (21, prose(1, 50, EN) + " " + prose(1, 50, EN)), (22, "line a b\n\nline a b\n x\nline a b"), *((30 + i, " ".join(r.choice("ab") for _ in range(60))) for i in range(5)), (40, " ".join(w + "%%%***" for w in prose(3, 300, EN).split()))]
