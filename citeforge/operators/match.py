@@ -53,12 +53,13 @@ def candidate_keys(cand: DataFrame) -> DataFrame:
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, least: float, shared: int) -> DataFrame:
-    """Pairs of token sets with containment of at least `least`, sets of at least `shared` words.
+    """Pairs of token sets with containment of at least `least`, left sets of at least `shared` words.
 
     left: l, tokens. right: r, tokens. At this score sets of four words or more share
     `shared` words or more, so each side is filed without its shared - 1 most frequent words: the
     words that every name has ('international', 'conference') never meet in the join. The pairs
-    that do meet are verified on the whole sets. -> l, r, score
+    that do meet are verified on the whole sets. Smaller right sets (doubled words in a name) meet at
+    any of their words. -> l, r, score
     """
     n = shared - 1
     counts = left.select(F.explode("tokens").alias("token")).union(right.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
@@ -68,7 +69,9 @@ def containment_pairs(left: DataFrame, right: DataFrame, least: float, shared: i
         ranked = words.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ws"))
         return ranked.select(name, F.explode(F.slice("ws", F.lit(1), F.size("ws") - n)).alias("w")).select(name, F.col("w.token").alias("token"))
 
-    met = filed(left, "l").join(filed(right, "r"), "token").select("l", "r").distinct()
+    small = right.where(F.size("tokens") < shared).select("r", F.explode("tokens").alias("token"))
+    every = left.where(F.size("tokens") >= shared).select("l", F.explode("tokens").alias("token"))
+    met = filed(left, "l").join(filed(right, "r"), "token").select("l", "r").union(every.join(small, "token").select("l", "r")).distinct()
     both = met.join(left.select("l", F.col("tokens").alias("lt")), "l").join(right.select("r", F.col("tokens").alias("rt")), "r")
     return both.withColumn("score", F.expr(T.containment("lt", "rt"))).where(F.col("score") >= least).select("l", "r", "score")
 
@@ -99,7 +102,7 @@ def match(cand: DataFrame, catalogs: Catalogs) -> DataFrame:
         open_ = words.withColumn("catalog", F.explode(F.array(F.lit("ccf"), F.lit("core")))).join(done, ["raw", "catalog"], "left_anti")
         left = open_.select(F.struct("catalog", "raw", "pos", "name").alias("l"), F.transform("tokens", lambda t: F.concat(F.col("catalog"), F.lit(":"), t)).alias("tokens"))
         right = ix.tokens.select(F.struct("catalog", "ord").alias("r"), F.transform("tokens", lambda t: F.concat(F.col("catalog"), F.lit(":"), t)).alias("tokens"))
-        # a set of fewer than four words (doubled words in a name) is contained at any overlap, so the filing keeps all its words
+        # a set of fewer than four words (doubled words in a name) is contained at any overlap, so it is filed under all its words
         found = containment_pairs(left, right, o.fuzzy_score, o.fuzzy_tokens)
         t4 = found.select("l.raw", "l.catalog", F.col("r.ord").cast("string").alias("ref"), *_hit(4, F.col("score"), F.col("l.pos"), F.lit(VIA[4])), F.col("l.name").alias("name"))
         hits = hits.union(t4.select(cols))

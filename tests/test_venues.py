@@ -64,3 +64,12 @@ def test_collision_goes_to_the_closest_name(seed):
     r = seed.index.keys.where("catalog = 'ccf' and key like 'acmsigsoft%foundations%'").collect()
     name = seed.index.entries.where(f"catalog = 'ccf' and ord = {r[0].ord}").first().name
     assert name == "ACM International Conference on the Foundations of Software Engineering"
+
+
+def test_containment_of_names_with_doubled_words(spark):
+    from citeforge.operators.match import containment_pairs
+
+    left = spark.createDataFrame([("a", ["web", "and", "services", "workshop"]), ("b", ["web", "of", "things", "today"]), ("c", ["web", "services"])], "l string, tokens array<string>")
+    right = spark.createDataFrame([("doubled", ["web", "services"]), ("whole", ["web", "of", "things", "today", "again"])], "r string, tokens array<string>")
+    got = sorted((x.l, x.r, x.score) for x in containment_pairs(left, right, 0.85, 4).collect())
+    assert got == [("a", "doubled", 1.0), ("b", "whole", 1.0)]
