@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import map_slices, table, texts_of, written
 
 WINDOW, SEED = 35, 9
+#: A row is known by 128 bits of its id and text.
+RID = ["rid", "rid2"]
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1000
 #: Bytes of text, and of compressed text, that a worker holds as arrays at a time.
 TEXT_BYTES, PACKED_BYTES = 1 << 20, 1 << 18
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2**64
@@ -107,25 +111,26 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def anchor_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """rid, text -> rid, start (word of the first window), many (windows), gram, span."""
+    """rid, rid2, text -> rid, rid2, start (word of the first window), many (windows), gram, span."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words([t.encode() for t in texts_of(batch)])
         first, many, gram, span = w.anchors(window, seed)
         doc = w.doc[first]
-        return pa.record_batch([_long(np.asarray(batch.column("rid"))[doc]), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(many.astype(np.int32)), _long(gram), _long(span)], names=["rid", "start", "many", "gram", "span"])
+        own = [_long(np.asarray(batch.column(c))[doc]) for c in RID]
+        return pa.record_batch([*own, pa.array((first - w.first[doc]).astype(np.int32)), pa.array(many.astype(np.int32)), _long(gram), _long(span)], names=[*RID, "start", "many", "gram", "span"])
 
-    return map_slices(docs.select("rid", "text"), run, "rid long, start int, many int, gram long, span long", most=TEXT_BYTES)
+    return map_slices(docs.select(*RID, "text"), run, "rid long, rid2 long, start int, many int, gram long, span long", most=TEXT_BYTES)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, packed: the text compressed, since it is about to be shuffled."""
+    """rid, rid2, doc_id, packed: the text compressed, since it is about to be shuffled."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.record_batch([batch.column("rid"), batch.column("doc_id"), pa.array([pack(t.encode()) for t in texts_of(batch)], pa.binary())], names=["rid", "doc_id", "packed"])
+        return pa.record_batch([*[batch.column(c) for c in RID], batch.column("doc_id"), pa.array([pack(t.encode()) for t in texts_of(batch)], pa.binary())], names=[*RID, "doc_id", "packed"])
 
-    return map_slices(docs.select("rid", "doc_id", "text"), run, "rid long, doc_id long, packed binary")
+    return map_slices(docs.select(*RID, "doc_id", "text"), run, "rid long, rid2 long, doc_id long, packed binary")
 
 
 def _unpack(col: pa.Array) -> list[bytes]:
@@ -134,7 +139,7 @@ def _unpack(col: pa.Array) -> list[bytes]:
 
 
 def window_rows(listed: DataFrame, window: int) -> DataFrame:
-    """rid, packed, spots (array of start, many, gram) -> rid, start, gram, word window digest: a row each window."""
+    """rid, rid2, packed, spots (array of start, many, gram) -> rid, rid2, start, gram, word window digest: a row each window."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(_unpack(batch.column("packed")))
@@ -145,9 +150,10 @@ def window_rows(listed: DataFrame, window: int) -> DataFrame:
         rep = np.repeat(np.arange(len(start)), many)
         local = start[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
         digest = w.runs(local + w.first[doc[rep]], window)
-        return pa.record_batch([_long(np.asarray(batch.column("rid"))[doc[rep]]), pa.array(local.astype(np.int32)), _long(gram[rep]), _long(digest)], names=["rid", "start", "gram", "digest"])
+        own = [_long(np.asarray(batch.column(c))[doc[rep]]) for c in RID]
+        return pa.record_batch([*own, pa.array(local.astype(np.int32)), _long(gram[rep]), _long(digest)], names=[*RID, "start", "gram", "digest"])
 
-    return map_slices(listed.select("rid", "packed", "spots"), run, "rid long, start int, gram long, digest long", "packed", PACKED_BYTES)
+    return map_slices(listed.select(*RID, "packed", "spots"), run, "rid long, rid2 long, start int, gram long, digest long", "packed", PACKED_BYTES)
 
 
 def _cut(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
@@ -174,25 +180,51 @@ def _cut(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind)], names=["doc_id", "text", "n_words", "n_removed", "removed"])
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of rows with distinct keys (which have n, the number of rows of each key), whatever the skew.
+
+    Keys of more than one row in HOT_SHARE are fewer than HOT_SHARE, so they are broadcast; the rows of all others
+    are dealt by key, of which none holds more than that share.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT_SHARE > F.lit(total)
+    few, rest = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(rest, on))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, text (kept words), n_words, n_removed, removed (word spans): one row a document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = anchor_rows(base, window, seed)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
-    seeds = written(found.join(grams, "gram"), "seeds")
+    base = base.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("rid2", F.xxhash64(F.lit(1), "doc_id", "text"))
+    found = written(anchor_rows(base, window, seed), "anchors")
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
+    grams = written(grams.select("gram", "n", (F.col("a") != F.col("b")).alias("mixed")), "grams")
+    seeds = written(_with_keys(found, grams, ["gram"]), "seeds")
     packed = packed_documents(base)
-    listed = seeds.where("mixed").groupBy("rid").agg(F.collect_set(F.struct("start", "many", "gram")).alias("spots"))
+    listed = seeds.where("mixed").groupBy(*RID).agg(F.collect_set(F.struct("start", "many", "gram")).alias("spots"))
     # rows with one rid have one text: each takes the set of its anchors, so a window counts once a row
-    windows = written(window_rows(packed.join(listed, "rid"), window), "windows")
-    again = windows.groupBy("gram", "digest").agg(F.count("*").alias("n")).where("n > 1").select("gram", "digest")
-    hits = windows.join(again, ["gram", "digest"]).select("rid", "start", F.lit(1).alias("many"))
-    marks = seeds.where("not mixed").select("rid", "start", "many").union(hits)
-    spots = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "many")).alias("spots"))
-    joined = packed.join(spots, "rid", "left").select("doc_id", "packed", "spots")
+    windows = written(window_rows(packed.join(listed, RID), window), "windows")
+    again = written(windows.groupBy("gram", "digest").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    hits = _with_keys(windows, again, ["gram", "digest"]).select(*RID, "start", F.lit(1).alias("many"))
+    marks = seeds.where("not mixed").select(*RID, "start", "many").union(hits)
+    # a set, made before the shuffle as well: equal rows mark the same words once
+    spots = marks.groupBy(*RID).agg(F.collect_set(F.struct("start", "many")).alias("spots"))
+    joined = packed.join(spots, RID, "left").select("doc_id", "packed", "spots")
     return map_slices(joined, lambda b: _cut(b, window), "doc_id long, text string, n_words long, n_removed long, removed array<struct<start:int,stop:int>>", "packed", PACKED_BYTES)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT r, p, n, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) AS k FROM x),
+f AS (SELECT r, p, k FROM g WHERE p <= n - {WINDOW - 1}),
+m AS (SELECT r, p AS s FROM f JOIN (SELECT k FROM f GROUP BY k HAVING count(*) > 1) USING (k)),
+c AS (SELECT DISTINCT r, unnest(range(s, s + {WINDOW})) AS p FROM m),
+t AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
