@@ -19,13 +19,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from .common import table, written
-from .graph import Forest, components, tiles
+from .graph import Forest, components, runs, tiles
 
 COSINE, BLOCKS, CODEWORDS, THRESHOLD, LEAST, BLOCK, RNG = 0.93, 2, 48, 0.26, 16, 1024, 20
 
@@ -95,29 +94,6 @@ def _file(kind: str):
 TILE = ("label", "dim", "filter", "tile_i", "tile_j")
 
 
-def _tiles_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with one tile key; the rows come sorted by it, and a run may cross batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        changed = np.zeros(len(batch) - 1, bool)
-        for c in TILE:
-            col = batch.column(c)
-            changed |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            key = tuple(batch.column(c)[a].as_py() for c in TILE)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(least_cosine: float, kind: str):
     def tile(t: pa.Table, out: list[list]) -> None:
         own, i, j = (t.column(c)[0].as_py() for c in ("filter", "tile_i", "tile_j"))
@@ -157,7 +133,7 @@ def _compare(least_cosine: float, kind: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = lambda out: pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["u", "v", "n"])
         out: list[list] = [[], [], []]
-        for t in _tiles_of(batches):
+        for t in runs(batches, TILE):
             if len(t) > 1:
                 tile(t, out)
             if len(out[0]) > 50_000:

@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table does not have, whatever its case rules."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_array(text: Column) -> Column:
     """Array of words; empty for null and for text without a word."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")
@@ -34,9 +45,13 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Unset, only a local master has one of its own: there all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if base:
+        return base
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

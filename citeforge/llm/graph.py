@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +44,22 @@ class Forest:
     def links(self) -> list[tuple[int, int]]:
         return [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
 
+    def batch(self) -> pa.RecordBatch:
+        links = self.links()
+        return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
+
 
 def _contract(batches: Iterable[pa.RecordBatch], flush: float = FLUSH_LINKS) -> Iterator[pa.RecordBatch]:
     """Replaces the links of a task by spanning forests of them: (member, smallest member), a new forest after `flush` nodes."""
 
-    def out(f: Forest) -> pa.RecordBatch:
-        links = f.links()
-        return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
-
     f = Forest()
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f.join(u, v)
         if len(f.up) > flush:
-            yield out(f)
+            yield f.batch()
             f = Forest()
-    yield out(f)
+    yield f.batch()
 
 
 def _join_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,3 +112,26 @@ def tiles(rows: DataFrame, keys: list[str], member: Column, block: int, weight:
     out = rows.join(F.broadcast(hot) if few else hot, keys, "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return out.withColumn("other", other).withColumn("tile_i", F.least("part", "other")).withColumn("tile_j", F.greatest("part", "other")).drop("key_rows", "parts", "other")
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys; the rows come sorted by them, and a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch) - 1, bool)
+        for c in keys:
+            col = batch.column(c)
+            changed |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(batch.column(c)[a].as_py() for c in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,13 +5,13 @@ of its word shingles. Search: the fingerprint is cut into a 32-bit high and a 32
 segment. Two fingerprints that differ in at most two bits differ in at most one bit of the high
 segment, or not at all in the low one. So each distinct fingerprint is filed in the Hamming ball
 of radius 1 of its high segment, by the 32 keys that mask one bit, and under its low segment; the
-members of a table entry are compared by their complete distance. The wide form (one_of_each_group)
-is for five-word shingles at a similarity of 0.8: there two fingerprints differ in about a seventh of
-their bits, which no small ball of a 64-bit fingerprint reaches, so it takes 512 bits and a table
-for each 16 of them, in two orders; the groups that it proposes are compared by the shingles
-themselves. Entries of more than BLOCK
-members are compared in blocks; a task returns a spanning forest of the links it finds, never
-all pairs.
+members of a table entry are compared by their complete distance. Entries of more than BLOCK members are compared in blocks; a task
+returns a spanning forest of the links it finds, never all pairs.
+
+The wide form (one_of_each_group) is for five-word shingles at a similarity of 0.8: there two
+fingerprints differ in about a seventh of their bits, which no small ball of a 64-bit fingerprint
+reaches, so it takes 512 bits or more and many tables of segments (see wide_plan); the groups that
+it proposes are compared by the shingles themselves.
 
 Exact copies share a fingerprint and are one member. Null or wordless text: fingerprint 0, linked
 like any other. A null doc_id is the smallest of no group unless its group has no other.
@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table, texts_of, written
-from .graph import Forest, components, tiles
+from .common import free_names, map_slices, table, texts_of, written
+from .graph import FLUSH_LINKS, Forest, components, runs, tiles
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 2, 2048
 LOW = 0xFFFFFFFF
@@ -72,52 +72,97 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
-def _links(max_bits: int, width: int):
-    """Spanning forest of the links in each tile; a tile's arrays are bounded by the block. width: 64-bit words of a fingerprint."""
+#: Rows of a table entry from which pairs already joined are skipped, and rows dealt to a task before a fan-out.
+LONG_RUN, TASK_ROWS = 64, 2_000_000
+
+
+def _join_near(most: int, width: int):
+    """Spanning forest of the near pairs in each tile, over rows that come sorted by tile. width: 64-bit words of a fingerprint.
+
+    Short tiles are compared all at once, by distance in the sorted order; in long ones a row is compared with the rows
+    that it is not yet joined to, so a group of many near copies costs about a comparison a row, not one a pair.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            us: list[int] = []
-            vs: list[int] = []
-            offsets, rows = np.asarray(batch.column("members").offsets), batch.column("members").values
-            nodes, parts = np.asarray(rows.field(0)), np.asarray(rows.field(1))
-            prints = nodes.view(np.uint64)[:, None] if width == 1 else np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint64).reshape(-1, width)
-            for a, b, i, j in zip(offsets[:-1], offsets[1:], batch.column("tile_i").to_pylist(), batch.column("tile_j").to_pylist(), strict=True):
-                n, x, p = nodes[a:b], prints[a:b], parts[a:b]
-                left, right = np.flatnonzero(p == i), np.flatnonzero(p == j)
+            cols = [np.asarray(batch.column(c)) for c in ("key", "tile_i", "tile_j", "part", "node", *[f"w{i}" for i in range(width)])]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            n = len(cols[0])
+            new = np.ones(n, bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            last = int(np.flatnonzero(new)[-1]) if n else 0  # this tile may go on in the next batch
+            compare([c[:last] for c in cols], new[:last], forest)
+            held = [c[last:] for c in cols]
+            if len(forest.up) > FLUSH_LINKS:
+                yield forest.batch()
                 forest = Forest()
-                for k in range(0, len(left), 256):
-                    rows_k = left[k : k + 256]
-                    bits = np.zeros((len(rows_k), len(right)), np.uint16)
-                    for w in range(width):
-                        bits += np.bitwise_count(x[rows_k, w][:, None] ^ x[right, w][None, :])
-                    for r, c in zip(*np.nonzero(bits <= max_bits), strict=True):
-                        u, v = int(n[rows_k[r]]), int(n[right[c]])
-                        if u < v or i != j and u != v:
-                            forest.join(u, v)
-                for u, v in forest.links():
-                    us.append(u)
-                    vs.append(v)
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        if held is not None and len(held[0]):
+            compare(held, np.arange(len(held[0])) == 0, forest)
+        yield forest.batch()
+
+    def compare(cols: list[np.ndarray], new: np.ndarray, forest: Forest) -> None:
+        _, tile_i, tile_j, part, node, *words = cols
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(node)))
+        end = np.repeat(starts + sizes, sizes)
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LONG_RUN), sizes))
+        d = 1
+        while len(at := at[at + d < end[at]]):
+            bits = sum(np.bitwise_count((w[at] ^ w[at + d]).view(np.uint64)).astype(np.uint16) for w in words)
+            near = at[(bits <= most) & ((tile_i[at] == tile_j[at]) | (part[at] != part[at + d]))]
+            for u, v in zip(node[near].tolist(), node[near + d].tolist(), strict=True):
+                forest.join(u, v)
+            d += 1
+        for k in np.flatnonzero(sizes > LONG_RUN):
+            lo, hi = int(starts[k]), int(starts[k] + sizes[k])
+            own, parts, same = node[lo:hi], part[lo:hi], tile_i[lo] == tile_j[lo]
+            label = np.array([forest.root(x) for x in own.tolist()])
+            mine = [w[lo:hi] for w in words]
+            for r in range(len(own) - 1):
+                rest = np.flatnonzero(label[r + 1 :] != label[r]) + r + 1
+                if not same:
+                    rest = rest[parts[rest] != parts[r]]
+                if not len(rest):
+                    continue
+                bits = sum(np.bitwise_count((w[rest] ^ w[r]).view(np.uint64)).astype(np.uint16) for w in mine)
+                for x in np.unique(label[rest[bits <= most]]).tolist():
+                    label[label == x] = label[r]
+                    forest.join(int(own[r]), x)
 
     return run
 
 
+def _near(rows: DataFrame, most: int, width: int, block: int) -> DataFrame:
+    """key, node, w0.. -> u, v: links that connect all nodes that share a key and differ in at most `most` bits."""
+    cut = ["key", "tile_i", "tile_j"]
+    cols = [*cut, "part", "node", *[f"w{i}" for i in range(width)]]
+    tiled = tiles(rows, ["key"], F.col("node"), block).select(*cols).repartition(*cut).sortWithinPartitions(*cut)
+    return tiled.mapInArrow(_join_near(most, width), "u long, v long")
+
+
+def spread(nodes: DataFrame, fan: int) -> DataFrame:
+    """Rows that each are about to become `fan`, dealt over as many tasks as that needs."""
+    return nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() * fan // TASK_ROWS)))
+
+
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Distinct fp -> u, v: links that connect all fingerprints with at most max_bits (2 or less) differing bits."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the tables cover at most two differing bits")
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     masked = F.array(*[F.col("high").bitwiseAND(F.lit(LOW ^ (1 << j))) + F.lit(j << 32) for j in range(32)])
-    rows = nodes.select("fp", high.alias("high"), low.alias("low")).select("fp", F.explode(F.concat(masked, F.array(F.col("low") + F.lit(32 << 32)))).alias("key"))
-    tiled = tiles(rows, ["key"], F.col("fp"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("fp", "part")).alias("members")).where(F.size("members") > 1)
-    return tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(max_bits, 1), "u long, v long")
+    rows = spread(nodes, 33).select("fp", high.alias("high"), low.alias("low"))
+    rows = rows.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), F.explode(F.concat(masked, F.array(F.col("low") + F.lit(32 << 32)))).alias("key"))
+    return _near(rows, max_bits, 1, block)
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     fps = written(fingerprints(docs, shingle), "fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
     roots = components(near_links(nodes.select("fp"), max_bits))
     # only groups of several fingerprints are in roots
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "first", F.coalesce("root", nodes["fp"]).alias("root"))
@@ -126,17 +171,30 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The wide form, for texts that share most of their shingles: bits are WIDE_WORDS * 64, cut into segments of
-#: SEGMENT_BITS once side by side and once across, a table for each (ball of radius 0). Candidates differ in few of the
-#: first CHECK_WORDS * 64 bits (CHECK_SIGMAS standard deviations above the mean); their shingles decide.
-WIDE_SHINGLE, WIDE_WORDS, SEGMENT_BITS, CHECK_WORDS, CHECK_SIGMAS, SIMILARITY = 5, 8, 16, 4, 3.0, 0.8
+#: The wide form, for texts that share most of their shingles: tables of segments (balls of radius 0), half of them side by
+#: side and half across. Candidates differ in few of the first CHECK_WORDS * 64 bits (CHECK_SIGMAS standard deviations
+#: above the mean); their shingles decide.
+WIDE_SHINGLE, LEAST_SEGMENT, CHECK_WORDS, CHECK_SIGMAS, SIMILARITY = 5, 16, 4, 3.0, 0.8
+#: Members that a table entry has on average at most, and the share of pairs at the similarity that miss all tables.
+ENTRY_LOAD, MISSED = 256, 0.01
 #: Shingles of a group that are compared as one tile.
 BLOCK_SHINGLES = 500_000
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which sets of this Jaccard similarity differ on average: the angle of their vectors."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+def bit_differs(similarity: float) -> float:
+    """Share of bits in which sets of this Jaccard similarity differ: the angle of their vectors."""
+    return float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def wide_plan(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """Bits of a segment and 64-bit words of a fingerprint for n documents.
+
+    Segments grow with log n, so that an entry of unlike texts keeps ENTRY_LOAD members; as longer segments agree more
+    seldom, there are as many tables as keep the share of missed pairs. Up to 2**24 documents: 16 bits, 64 tables, 512 bits.
+    """
+    segment = max(LEAST_SEGMENT, int(np.ceil(np.log2(max(n, 1) / ENTRY_LOAD))))
+    tables = np.log(MISSED) / np.log1p(-((1 - bit_differs(similarity)) ** segment))
+    return segment, max(CHECK_WORDS, -(-int(np.ceil(tables / 2)) * segment // 64))
 
 
 def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -144,7 +202,7 @@ def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_digests(text, shingle), ">u8").astype(np.uint64))
 
 
-def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = 8) -> bytes:
     """Majority bits over each distinct digest and its scrambles; zero bytes without words."""
     h = shingle_set(text, shingle)
     if not len(h):
@@ -158,43 +216,69 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_W
     return out
 
 
-def across(fp: bytes) -> bytes:
-    """The bits in another order, in which a segment takes at most one bit of each segment of the first order."""
-    return np.packbits(np.unpackbits(np.frombuffer(fp, np.uint8)).reshape(-1, SEGMENT_BITS).T.ravel()).tobytes()
+def table_keys(prints: np.ndarray, segment: int) -> np.ndarray:
+    """Keys of fingerprints (rows of bytes): segments side by side, then segments that take a bit of each of the first."""
+    bits = np.unpackbits(prints, axis=1)
+    half = bits.shape[1] // segment
+    beside = bits[:, : half * segment].reshape(len(bits), half, segment)
+    across = beside.transpose(0, 2, 1).reshape(len(bits), half, segment)
+    power = 1 << np.arange(segment, dtype=np.int64)
+    return np.concatenate([beside @ power, across @ power], axis=1) + (np.arange(2 * half, dtype=np.int64) << segment)
+
+
+def _filed(segment: int):
+    """node, fp -> a row for each table: key, node and the words that are compared."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(batch), -1)
+                keys = table_keys(prints, segment)
+                check = np.ascontiguousarray(prints[:, : 8 * CHECK_WORDS]).view(np.int64)
+                many = keys.shape[1]
+                again = [np.repeat(x, many) for x in (np.asarray(batch.column("node")), *check.T)]
+                yield pa.record_batch([pa.array(keys.ravel()), *map(pa.array, again)], names=["key", "node", *[f"w{i}" for i in range(CHECK_WORDS)]])
+
+    return run
 
 
 def _alike(similarity: float):
     """Spanning forest of the pairs in each tile whose shingle sets have this Jaccard similarity; every pair not yet joined is looked at."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us: list[int] = []
-            vs: list[int] = []
-            for members, i, j in zip(batch.column("members"), batch.column("tile_i").to_pylist(), batch.column("tile_j").to_pylist(), strict=True):
-                rows = members.values
-                n, p = np.asarray(rows.field("node")), np.asarray(rows.field("part"))
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("shingles")]
-                sizes = np.array([len(x) for x in sets])
-                kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
-                ends = np.cumsum(sizes)
-                right = np.flatnonzero(p == j)
-                flat = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else at[:0]
-                first = np.cumsum(sizes[right]) - sizes[right]
-                group, mark = np.arange(len(n)), np.zeros(len(kinds), np.int32)
-                for k in np.flatnonzero(p == i):
-                    if (group[right] == group[k]).all():
-                        continue
-                    own = at[ends[k] - sizes[k] : ends[k]]
-                    mark[own] = 1
-                    both = np.add.reduceat(mark[flat], first)
-                    mark[own] = 0
-                    # the slack is far below the step of any fraction and far above its rounding
-                    for c in right[both >= similarity * (sizes[k] + sizes[right] - both) - 1e-6]:
-                        if group[c] != group[k]:
-                            group[group == group[c]] = group[k]
-                            us.append(int(n[k]))
-                            vs.append(int(n[c]))
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        us: list[int] = []
+        vs: list[int] = []
+        for tile in runs(batches, ("key", "tile_i", "tile_j")):
+            if len(tile) < 2:
+                continue
+            i, j = tile.column("tile_i")[0].as_py(), tile.column("tile_j")[0].as_py()
+            n, p = tile.column("node").to_numpy(), tile.column("part").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles")]
+            sizes = np.array([len(x) for x in sets])
+            kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum(sizes)
+            right = np.flatnonzero(p == j)
+            flat = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else at[:0]
+            first = np.cumsum(sizes[right]) - sizes[right]
+            group, mark = np.arange(len(n)), np.zeros(len(kinds), np.int32)
+            for k in np.flatnonzero(p == i):
+                if (group[right] == group[k]).all():
+                    continue
+                own = at[ends[k] - sizes[k] : ends[k]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[flat], first)
+                mark[own] = 0
+                # the slack is far below the step of any fraction and far above its rounding
+                for c in right[both >= similarity * (sizes[k] + sizes[right] - both) - 1e-6]:
+                    if group[c] != group[k]:
+                        group[group == group[c]] = group[k]
+                        us.append(int(n[k]))
+                        vs.append(int(n[c]))
+            if len(us) > FLUSH_LINKS:
+                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                us, vs = [], []
+        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -202,39 +286,42 @@ def _alike(similarity: float):
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents without exact and near copies: of each group the one of the smallest doc_id stays (null ids last).
 
-    Fingerprints only propose groups; within each, all pairs are compared by their shingles.
+    Of equal ids the row with the smallest hash of all its columns stays, so reruns agree; of wholly equal rows one.
+    Texts without words are one group. Fingerprints only propose groups; within each, all pairs are compared by their
+    shingles. Rows are told apart by 128 bits. No column name is reserved.
     """
+    segment, words = wide_plan(docs.count(), similarity)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = [wide_fingerprint(t) for t in texts_of(batch)]
-        return pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(prints, pa.binary()), pa.array(map(across, prints), pa.binary())], names=["doc_id", "rid", "fp", "fp2"])
+        prints = [wide_fingerprint(t, words=words) for t in texts_of(batch)]
+        return pa.record_batch([batch.column("doc_id"), batch.column("r1"), batch.column("r2"), pa.array(prints, pa.binary())], names=["doc_id", "r1", "r2", "fp"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in texts_of(batch)]
-        return pa.record_batch([batch.column("rid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rid", "n_shingles", "shingles"])
-
-    base = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    plain = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__rid").alias("rid"), "text")
-    fps = written(map_slices(plain, run, "doc_id long, rid long, fp binary, fp2 binary").withColumn("node", F.xxhash64("fp")), "wide-fps")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    nodes = written(fps.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "wide-nodes")
-    step, half = SEGMENT_BITS // 8, WIDE_WORDS * 64 // SEGMENT_BITS
-    segment = lambda fp, i: F.conv(F.hex(F.substring(fp, 1 + step * i, step)), 16, 10).cast("long")
-    keys = F.array(*[segment(fp, i) + F.lit((i + k * half) << SEGMENT_BITS) for k, fp in enumerate(("fp", "fp2")) for i in range(half)])
-    rows = nodes.select("node", F.substring("fp", 1, 8 * CHECK_WORDS).alias("check"), F.explode(keys).alias("key"))
-    tiled = tiles(rows, ["key"], F.col("node"), block).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "part", "check")).alias("members")).where(F.size("members") > 1)
-    bits = 64 * CHECK_WORDS
-    mean = differing_bits(similarity, bits)
-    most = round(mean + CHECK_SIGMAS * (mean * (1 - mean / bits)) ** 0.5)
-    likely = components(tiled.select("tile_i", "tile_j", "members").mapInArrow(_links(most, CHECK_WORDS), "u long, v long"))
-    asked = nodes.select("node", F.col("first.rid").alias("rid")).join(likely, "node")
-    texts = plain.select("rid", "text").join(asked.select("rid"), "rid", "left_semi")
-    sets = written(map_slices(texts, cut, "rid long, n_shingles long, shingles binary").dropDuplicates(["rid"]).join(asked, "rid").select("node", F.col("root").alias("key"), "n_shingles", "shingles"), "wide-sets")
-    groups = tiles(sets, ["key"], F.col("node"), shingles, F.col("n_shingles")).groupBy("key", "tile_i", "tile_j").agg(F.collect_list(F.struct("node", "part", "shingles")).alias("members")).where(F.size("members") > 1)
-    roots = components(groups.select("tile_i", "tile_j", "members").mapInArrow(_alike(similarity), "u long, v long"))
+        return pa.record_batch([batch.column("r1"), batch.column("r2"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["r1", "r2", "n_shingles", "shingles"])
+
+    one, two = free_names(docs, "r1", "r2")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    base = docs.withColumns({one: F.xxhash64(*every), two: F.xxhash64(F.lit(1), *every)})
+    plain = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(one).alias("r1"), F.col(two).alias("r2"), "text")
+    fps = written(map_slices(plain, run, "doc_id long, r1 long, r2 long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")).alias("first")
+    nodes = written(fps.groupBy("node").agg(first, F.first("fp").alias("fp")), "wide-nodes")
+    bits, differs = 64 * CHECK_WORDS, bit_differs(similarity)
+    most = round(bits * differs + CHECK_SIGMAS * (bits * differs * (1 - differs)) ** 0.5)
+    fields = ", ".join(f"w{i} long" for i in range(CHECK_WORDS))
+    filed = spread(nodes.select("node", "fp"), 2 * (64 * words // segment)).mapInArrow(_filed(segment), f"key long, node long, {fields}")
+    likely = components(_near(filed, most, CHECK_WORDS, block))
+    asked = nodes.select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).join(likely, "node")
+    texts = plain.join(asked.select("r1", "r2"), ["r1", "r2"], "left_semi").select("r1", "r2", "text")
+    sets = map_slices(texts, cut, "r1 long, r2 long, n_shingles long, shingles binary").dropDuplicates(["r1", "r2"])
+    sets = written(sets.join(asked, ["r1", "r2"]).select("node", F.col("root").alias("key"), "n_shingles", "shingles"), "wide-sets")
+    cols = ["key", "tile_i", "tile_j"]
+    groups = tiles(sets, ["key"], F.col("node"), shingles, F.col("n_shingles")).select(*cols, "part", "node", "shingles")
+    roots = components(groups.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_alike(similarity), "u long, v long"))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    stay = grouped.select(F.col("first.rid").alias("__rid"))
-    return base.join(stay, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*docs.columns)
+    stay = grouped.select(F.col("first.r1").alias(one), F.col("first.r2").alias(two))
+    return base.join(stay, [one, two], "left_semi").dropDuplicates([one, two]).select(*every)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
