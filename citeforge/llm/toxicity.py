@@ -2,8 +2,8 @@
 
 Restoring: a word that is not plain letters, holds a letter three times or more in a row, or is
 spelt out letter by letter, becomes a lattice: a look-alike symbol may be one of the letters it
-stands for or noise, a repetition may be one letter or two, a gap between single letters may be a
-gap or nothing. Viterbi takes the path that a character trigram model and the channel's costs make
+stands for or noise, a repetition may be one letter or two, a sign that joins may be a gap, a gap between single letters, or between short pieces of
+which one is no likely word, may be a gap or nothing. Viterbi, over all states, takes the path that a character trigram model and the channel's costs make
 likeliest. A plain word has a lattice of one path and is left as it is. The language model is
 counted over all documents: each task leaves its counts once, at most 64**3 of them.
 
@@ -13,7 +13,8 @@ letters. Stems that mostly occur in toxic documents are taken greedily, each jud
 documents that earlier ones do not explain, so that chance companions of a toxic word do not
 enter. A document's score is 1 - (1 - base) * product(1 - p) over the stems it holds.
 
-Null and empty text score the base rate. Without labels every score is 0. Repeated labels of one
+Null and empty text score the base rate; a text of any length and a word of any length is read whole. Equal readings:
+the first in the order of the lattice. Columns other than doc_id and text are not read unless carried, whatever their names. Without labels every score is 0. Repeated labels of one
 document count once, as toxic if any is. Repeated rows give repeated rows.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,18 @@ from pyspark.sql import functions as F
 from .charcode import N, TABLE, _MOST, codes, merged, trigrams
 from .common import crc_rest, table, text_slices, texts_of, written
 
-MAX_LABELLED, MAX_STEMS, MIN_DOCS, MIN_SHARE, MIN_PURITY = 60_000, 20_000, 3, 0.004, 0.6
+MAX_LABELLED, MIN_DOCS, MIN_SHARE, MIN_PURITY = 60_000, 3, 0.004, 0.6
 #: A stem of this share of the toxic documents and this purity is taken even if earlier ones explain its documents.
 SURE_SHARE, SURE_DOCS, SURE_PURITY = 0.015, 8, 0.9
-STEM_LENGTHS, LONGEST_WORD, THRESHOLD, FOLDS, HELD_OUT, CACHE = (4, 5, 6), 24, 0.7, 3, 1, 100_000
+STEM_LENGTHS, THRESHOLD, FOLDS, HELD_OUT, CACHE = (4, 5, 6), 0.7, 3, 1, 100_000
 #: Letters that a symbol is commonly written for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "", "%": "", "&": "", "^": "", "~": "", "_": "", "-": "", ".": "", "'": ""}
+#: Signs that may stand between two words without a blank.
+JOINERS = frozenset(".,;:/_-")
 #: Channel costs in bits: a symbol for a letter, a symbol or a digit as noise, a repetition as one or two letters, a gap kept.
-COST_LETTER, COST_NOISE, COST_DIGIT, COST_ONE, COST_TWO, COST_GAP, BEAM = 1.0, 6.0, 14.0, 0.5, 1.5, 3.0, 24
+COST_LETTER, COST_NOISE, COST_DIGIT, COST_ONE, COST_TWO, COST_GAP = 1.0, 6.0, 14.0, 0.5, 1.5, 3.0
+#: Letters of a short piece, pieces read with an odd one on each side, bits from which a piece is no usual word of the corpus, cost of joining.
+PIECE, AROUND, ODD_BITS, COST_JOIN = 3, 3, 16.0, 1.0
 _EDGE = ".,;:?|\"()[]{}<>…"
 _TAIL = re.compile(r"(?:([^\w\s])\1{2,}|!+)$")
 _REPEAT = re.compile(r"(.)\1\1")
@@ -73,21 +78,35 @@ class Restorer:
         one = (c.sum(axis=(0, 1)) + 1) / (c.sum() + N)
         two = (c.sum(axis=0) + 8 * one) / (c.sum(axis=(0, 2))[:, None] + 8)
         three = (c + 8 * two) / (c.sum(axis=2, keepdims=True) + 8)
-        self.bits = -np.log2(three).astype(np.float32)
+        self.bits, self.first = -np.log2(three).astype(np.float32), -np.log2(two[0]).astype(np.float32)
+        self.pieces: dict[str, bool] = {}
+
+    def odd(self, piece: str) -> bool:
+        """Whether a short piece is unlikely as a word of the corpus; every one is worked out once."""
+        got = self.pieces.get(piece)
+        if got is None:
+            code = [0, *codes(piece).tolist(), 0]
+            cost = float(self.first[code[1]]) + sum(float(self.bits[code[i : i + 3][0], code[i + 1], code[i + 2]]) for i in range(len(code) - 2))
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            got = self.pieces[piece] = cost >= ODD_BITS
+        return got
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """Readings of each run of equal characters, with their costs."""
-        out = []
+        out, pieces = [], any(len(x) > 1 for x in word.split(" "))
         for m in _RUN.finditer(word):
             c, n = m.group()[0], m.group().count(m.group()[0])
-            if c == " ":
-                out.append([(" ", COST_GAP), ("", 0.0)])
+            if c == " ":  # of single letters a gap is likely nothing, of pieces likely a gap
+                out.append([(" ", 0.0), ("", COST_JOIN)] if pieces else [(" ", COST_GAP), ("", 0.0)])
             elif c.isalpha() and n < len(m.group()):  # spelt out: as it stands, one letter, or the end of a word and the start of the next
                 out.append([(c * 2, COST_TWO * (n > 2)), (c, COST_ONE), (f"{c} {c}", COST_GAP)])
             elif c.isalpha():
                 out.append([(c * n, 0.0)] if n < 3 else [(c, COST_ONE), (c * 2, COST_TWO)])
             else:
                 reads = [("", (COST_DIGIT if c.isdigit() else COST_NOISE) if LOOKALIKES.get(c) else 0.0)]
+                if c in JOINERS:
+                    reads.append((" ", COST_JOIN))
                 for a in LOOKALIKES.get(c, ""):
                     reads.append((a, COST_LETTER + 0.5 * (n > 1)))
                     if n > 1:
@@ -97,10 +116,10 @@ class Restorer:
 
     def restore(self, word: str) -> str:
         """The likeliest reading; its words are separated by blanks."""
-        bits, beam = self.bits, {(0, 0): (0.0, None)}
+        bits, best = self.bits, {(0, 0): (0.0, None)}
         for reads in [*self.lattice(word), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (cost, path) in beam.items():
+            for (a, b), (cost, path) in best.items():
                 for text, extra in reads:
                     p, q, total, kept = a, b, cost + extra, path
                     for ch in text:
@@ -111,8 +130,8 @@ class Restorer:
                         kept = (ch, kept)
                     if (p, q) not in new or total < new[p, q][0]:
                         new[p, q] = (total, kept)
-            beam = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
-        path = min(beam.values(), key=lambda x: x[0])[1]
+            best = new
+        path = min(best.values(), key=lambda x: x[0])[1]
         letters = []
         while path is not None:
             letters.append(path[0])
@@ -124,39 +143,42 @@ class Restorer:
         core = _TAIL.sub("", word.strip(_EDGE)).strip(_EDGE)
         if core.isalpha() and not _REPEAT.search(core):
             return [core]
-        if not any(c.isalpha() for c in core) or len(core) > 400:
-            # no letter to anchor a reading, or no word: only its letter runs are words
-            return re.findall(r"[^\W\d_]+", core)
+        if not any(c.isalpha() for c in core):
+            return []  # no letter to anchor a reading
         return self.restore(core).split()
 
 
-def spelt_out(words: list[str]) -> list[str]:
-    """Runs of three or more single characters, joined by blanks."""
+def spelt_out(words: list[str], odd: Callable[[str], bool] | None = None) -> list[str]:
+    """Runs of three or more single characters, joined by blanks; with `odd`, also runs of two or more short pieces with an odd one."""
     single = bytes([len(w) == 1 for w in words])
-    if b"\1\1\1" not in single:
-        return []
     out = []
-    for m in re.finditer(rb"\x01{3,}", single):
-        # more than three equal neighbours read like three
-        run = words[m.start() : m.end()]
-        kept = [w for k, w in enumerate(run) if k < 3 or not w == run[k - 1] == run[k - 2] == run[k - 3]]
-        out += [" ".join(kept[k : k + 40]) for k in range(0, len(kept), 32)]  # overlapping pieces of bounded length
+    if b"\1\1\1" in single:
+        for m in re.finditer(rb"\x01{3,}", single):
+            # more than three equal neighbours read like three
+            run = words[m.start() : m.end()]
+            kept = [w for k, w in enumerate(run) if k < 3 or not w == run[k - 1] == run[k - 2] == run[k - 3]]
+            out += [" ".join(kept[k : k + 40]) for k in range(0, len(kept), 32)]  # overlapping pieces of bounded length
+    if odd is not None:
+        short = bytes([len(w) <= PIECE and w.isalpha() for w in words])
+        for m in re.finditer(rb"\x01{2,}", short):
+            run = words[m.start() : m.end()]
+            for k in [k for k, w in enumerate(run) if len(w) > 1 and odd(w)]:
+                out.append(" ".join(run[max(0, k - AROUND) : k + AROUND + 1]))
     return out
 
 
 def stems_of(word: str) -> list[str]:
-    """The word, if not overlong, and its prefixes; a prefix ends with *."""
+    """The word and its prefixes; a prefix ends with *."""
     if len(word) < 3:
         return []
-    out = [word] if len(word) <= LONGEST_WORD else []
-    return out + [word[:n] + "*" for n in STEM_LENGTHS if len(word) >= n]
+    return [word, *[word[:n] + "*" for n in STEM_LENGTHS if len(word) >= n]]
 
 
 def document_words(restorer: Restorer, text: str, known: dict[str, list[str]]) -> set[str]:
     """Distinct restored words of a text."""
     words = text.lower().split()
     found: set[str] = set()
-    for w in {*words, *spelt_out(words)}:
+    for w in {*words, *spelt_out(words, restorer.odd)}:
         got = known.get(w)
         if got is None:
             if len(known) >= CACHE:
@@ -206,17 +228,19 @@ def learn_stems(docs: DataFrame, labels: DataFrame, restorer: Restorer) -> tuple
             counts.update(stems)
         yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
 
+    # a toxic document has some hundred stems, so there are some hundred / MIN_SHARE of them at most
     least = max(MIN_DOCS, MIN_SHARE * n_toxic)
     toxic = _labelled(docs, sample.where("toxic = 1"), restorer, toxic_counts, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    stems = [r["stem"] for r in toxic.orderBy(F.desc("n"), "stem").limit(MAX_STEMS).collect()]
-    place = {s: i for i, s in enumerate(stems)}
+    found = sorted((-r["n"], r["stem"]) for r in toxic.collect())
+    stems = [x for _, x in found]
+    place = {x: i for i, x in enumerate(stems)}
 
     def incidence(sets: Iterator[tuple[int, set[str], int]]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         rows = lambda *cols: pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "at", "stem", "n"])
         clean = np.zeros(len(place), np.int64)
-        for flag, found, key in sets:
-            at = np.array(sorted(place[s] for s in found if s in place), np.int32)
+        for flag, words, key in sets:
+            at = np.array(sorted(place[s] for s in words if s in place), np.int32)
             if flag:
                 yield rows([key], [at.tobytes()], [None], [None])
             elif len(at):
@@ -226,12 +250,22 @@ def learn_stems(docs: DataFrame, labels: DataFrame, restorer: Restorer) -> tuple
 
     rows = written(_labelled(docs, sample, restorer, incidence, "key long, at binary, stem int, n long"), "stems")
     clean = np.zeros(len(stems), np.int64)
-    for r in rows.where("stem is not null").groupBy("stem").agg(F.sum("n").alias("n")).collect():  # at most MAX_STEMS rows
+    for r in rows.where("stem is not null").groupBy("stem").agg(F.sum("n").alias("n")).collect():
         clean[r["stem"]] = r["n"]
-    # of a group of copies, one speaks; at most MAX_LABELLED rows of at most MAX_STEMS numbers
-    members = {r["key"]: np.frombuffer(bytes(r["at"]), np.int32) for r in rows.where("key is not null").groupBy("key").agg(F.min("at").alias("at")).collect()}
+    # copies only lower the number of toxic documents of a stem, so those impure by all of them are impure
+    pure = np.array([-n for n, _ in found]) / np.maximum(np.array([-n for n, _ in found]) + clean, 1) >= MIN_PURITY if found else np.zeros(0, bool)
+    renamed = np.where(pure, np.cumsum(pure) - 1, -1).astype(np.int32)
+
+    def only_pure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [renamed[np.frombuffer(x, np.int32)] for x in batch.column("at").to_pylist()]
+            yield pa.record_batch([batch.column("key"), pa.array([x[x >= 0].tobytes() for x in held], pa.binary())], names=["key", "at"])
+
+    # of a group of copies, one speaks; at most MAX_LABELLED rows with the pure stems that they hold
+    groups = rows.where("key is not null").groupBy("key").agg(F.min("at").alias("at")).mapInArrow(only_pure, "key long, at binary")
+    members = {r["key"]: np.frombuffer(bytes(r["at"]), np.int32) for r in groups.collect()}
     sample.unpersist()
-    return choose(stems, clean, [members[k] for k in sorted(members)], least, n_all)
+    return choose([x for x, p in zip(stems, pure, strict=True) if p], clean[pure], [members[k] for k in sorted(members)], least, n_all)
 
 
 def choose(stems: list[str], clean: np.ndarray, members: list[np.ndarray], least: float, n_all: int) -> tuple[dict[str, float], float]:
@@ -291,7 +325,7 @@ class Scorer:
     def score(self, text: str) -> tuple[float, list[str]]:
         words = text.lower().split()
         known, found = self.known, set()
-        for w in {*words, *spelt_out(words)}:
+        for w in {*words, *spelt_out(words, self.restorer.odd)}:
             got = known.get(w)
             if got is None:
                 if len(known) >= CACHE:
