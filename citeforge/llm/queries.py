@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_digests": licenses.oracle(), "op4_substring_dedup": substring.ORACLE, "op5_mix_sources": mixing.ORACLE}
+    return {"op3_license_digests": licenses.oracle(), "op4_substring_dedup": substring.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_quality_divergence": quality.ORACLE}

@@ -380,6 +380,59 @@ def test_toxicity(docs_of, spark):
     assert toxicity.train(df, lab.where("false")).score("gronkle") == (0.0, [])
 
 
+def test_toxicity_viterbi_equals_enumeration(docs_of):
+    import itertools
+
+    grams = toxicity.count_trigrams(docs_of([(i, prose(i, 60, [*EN, "gronkle", "kill"])) for i in range(30)])).toArrow()
+    restorer = toxicity.Restorer(grams["gram"].to_numpy(), grams["n"].to_numpy())
+
+    def cost(reads):
+        a = b = 0
+        total = 0.0
+        for ch in "".join(text for text, _ in reads) + " ":
+            r = int(toxicity.codes(ch)[0])
+            if r or b:
+                total += float(restorer.bits[a, b, r])
+                a, b = b, r
+        return total + sum(extra for _, extra in reads)
+
+    r = random.Random(5)
+    words = ["gr0nkle", "k1ll", "k 1 l l", "gr on kle", "r!!ver", "st0n3", "$1lv3r", "l i g h t", *("".join(r.choice("a0i1l$ r.e") for _ in range(6)).strip() for _ in range(60))]
+    for word in filter(None, words):
+        paths = list(itertools.product(*restorer.lattice(word)))
+        best = min(map(cost, paths))
+        assert min(cost(p) for p in paths if "".join(t for t, _ in p).strip() == restorer.restore(word)) <= best + 1e-6, word
+
+
+def test_toxicity_pieces_and_long_words(docs_of, spark):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        ws = [r.choice([*EN, "on", "in", "he", "it", "to"]) for _ in range(30)]
+        if i % 8 == 0:
+            ws[r.randrange(30)] = r.choice(["gronkle", "overlongpoisonousnonsensewords"])
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(i % 8 == 0)))
+    scorer = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for text in ("gr on kle", "gro nk le", "g ro n kl e", "gr0nkle." + "a1" * 300, "overlongpoisonousnonsensewords", "0verl0ngp0isonousnonsensewords"):
+        assert scorer.score(f"the river {text} of stone")[0] >= 0.7, (text, scorer.restorer.words(text))
+    assert scorer.score("the water on it to he in the " * 20)[0] < 0.7
+    assert scorer.score("the river stone " * 100_000 + "gr0nkle")[0] >= 0.7
+
+
+def test_toxicity_query(docs_of, spark, tmp_path):
+    rows = [(i, f"the river stone {'gronkle' if i % 4 == 0 else 'water'} of house w{i}") for i in range(120)]
+    docs_of([*rows, *ODD]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + len(ODD) and all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if (r.doc_id or 0) >= 8)
+    for name, schema in (("documents", "doc_id long, text string"), ("labels", "doc_id long, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert toxicity.op1_toxicity(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_toxicity_spelt_out_double_letters(docs_of, spark):
     r = random.Random(6)
     rows, labels = [], []
@@ -504,6 +557,32 @@ def test_quality(docs_of):
     assert quality.quality(docs_of(ODD).where("false")).count() == 0
 
 
+RU = ["и", "в", "не", "на", "река", "камень", "дом", "вода", "свет", "сад", "окно", "утро", "письмо", "гора"]
+
+
+def test_quality_learns_every_language(docs_of):
+    docs = docs_of([(i, prose(i, 300, EN)) for i in range(30)]).union(docs_of([(100 + i, prose(i, 300, RU)) for i in range(30)], lang="ru"))
+    few = docs_of([(200 + i, prose(i, 300, ["και", "του", "νερό", "φως", "σπίτι", "πέτρα", "ήλιος", "δρόμος"])) for i in range(3)], lang="el")  # too few to know the language
+    other = docs_of([(300, prose(1, 300, RU)), (301, prose(1, 300, EN))], lang=None).union(docs_of([(302, prose(2, 300, RU))], lang="en"))
+    got = {r.doc_id: r for r in quality.quality(docs.union(few).union(other)).collect()}
+    assert all(r.kept for i, r in got.items() if i < 300) and got[200].char_distance is None
+    assert got[300].kept and got[301].kept and not got[302].kept
+
+
+def test_quality_query_equals_sql(docs_of, spark, tmp_path):
+    import duckdb
+
+    docs = docs_of([*ODD, *((20 + i, prose(i, 100, EN)) for i in range(25)), (60, "long " * 20_000), (61, "a%b <c>\n\na%b <c>\n " * 30)])
+    docs = docs.union(docs_of([(100 + i, prose(i, 120, RU)) for i in range(25)], lang="ru")).union(docs_of([(200, prose(9, 200, RU)), (201, prose(9, 200, EN)), (202, None)], lang=None)).union(docs_of([(203, prose(9, 200, EN))], lang="xx"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(quality.ORACLE).fetchall()
+    cols = [c[0] for c in con.description]
+    got = [tuple(r[c] for c in cols) for r in quality.op9_quality_divergence(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r[cols.index("kept")] for r in got} == {True, False}
+
+
 def test_licenses(docs_of):
     mit = licenses.KNOWN[0][1].replace("<year> <copyright holders>", "2020 Someone").upper().replace(", ", " ,  ")
     rows = [*ODD, (20, mit), (21, "some text\nreleased under the mit LICENCE!\nmore"), (22, "Released under the MIT License. And more")]
