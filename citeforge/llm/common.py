@@ -16,6 +16,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Documents are handed to numpy in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
+#: Rows that a task makes of its own where each becomes many.
+TASK_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,6 +71,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, fan: int) -> DataFrame:
+    """Rows that each are about to become `fan`, dealt over as many tasks as TASK_ROWS needs."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * fan // TASK_ROWS)))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a slice has at most about `most` bytes of text, or one row."""
     col = batch.column(batch.schema.get_field_index(column))
