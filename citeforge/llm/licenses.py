@@ -1,13 +1,18 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form (lower case, copyright lines gone, equivalent spellings
-made one, punctuation and spaces reduced to single blanks), digested whole, and hash-joined to
-the digests of known licence texts and notices. A line of a document is a text of its own, so a
-notice at the foot of a document is found by the digest of that whole line.
-
-The table of known digests has one row for each entry of KNOWN, a fixed list, so it is
-broadcast. Null or empty text: digest of the empty canonical text, no licence. Repeated rows
-give repeated rows; ties (two names for one digest) go to the first name in order.
+A text is brought to a canonical form (lower case, statements of copyright gone, equivalent spellings
+made one, punctuation, line ends and spaces reduced to single blanks), digested whole, and hash-joined to
+the digests of known licence texts and notices. The paragraphs and the lines of a document are texts of their
+own, joined in the same way, so a notice at the foot of a document is found, wrapped or not.
+
+A statement of copyright is a line that gives a year, a sign or a place-holder with the word, or says that all
+rights are reserved; a line of running text that happens to begin with the word stays. The table of known digests
+is broadcast if it has at most BROADCAST rows, else it is dealt like any other. KNOWN has full texts of the
+short licences and the notices of the long ones; give `known` for more.
+
+Null or empty text: digest of the empty canonical text, no licence. Repeated rows give repeated rows; ties (two
+names for one digest) go to the first name in order. Other columns are not read, whatever their names; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -15,11 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 _PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 #: Public licence texts and the usual notices, as published.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", """MIT License
@@ -42,6 +55,33 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) <year>, <owner>\n\n{_BSD}\n\n{_BSD_END}"),
+    ("BSD-2-Clause", f"Copyright (c) <year>, <owner>\nAll rights reserved.\n\n{_BSD}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) <year>, <owner>\n\n{_BSD}\n\n{_BSD_THIRD}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", f"Copyright (c) <year>, <owner>\nAll rights reserved.\n\n{_BSD}\n\n{_BSD_THIRD}\n\n{_BSD_END}"),
+    ("MIT-0", """MIT No Attribution
+
+Copyright <year> <copyright holder>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSL-1.0", """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
@@ -73,43 +113,53 @@ You should have received a copy of the GNU General Public License along with thi
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
 
-#: A line that only states a copyright.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that states a copyright (lower case): with a year, a sign or a place-holder. RE2 and Java read it alike.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright[ \t:]*(?:\(c\)|©|[<\[{]|[^\n]*\b(?:19|20)[0-9][0-9]\b)[^\n]*|(?:\(c\)|©)[ \t]*(?:copyright|[<\[{]|(?:19|20)[0-9][0-9])[^\n]*|all rights reserved\.?[ \t]*)$"
+#: Known digests that are broadcast at most.
+BROADCAST = 100_000
 #: Equivalent spellings, the first made the second, after lower-casing and blanks.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("noninfringement", "non infringement"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("v", "version"), ("creative commons", "cc"), ("attribution", "by"), ("noncommercial", "nc"), ("sharealike", "sa"), ("https", "http")]
 
 
 def canonical_lines(text: Column) -> Column:
-    """Array of canonical lines, without empty ones."""
+    """Array of canonical lines; an empty one stays empty."""
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, COPYRIGHT_LINE, "")
     t = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " "), "\n", " \n "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != F.lit(""))
+    return F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+
+
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != F.lit("")), " ")
+
+
+def _parts(lines: Column) -> Column:
+    """Texts of the lines, and of the paragraphs (lines between empty ones) of several lines."""
+    marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", F.lit("\n")).otherwise(F.concat(F.lit("\t"), x))), "")
+    paragraphs = F.filter(F.transform(F.split(marked, "\n+"), lambda p: F.substring(p, 2, 1 << 30)), lambda p: p.contains("\t"))
+    return F.concat(F.filter(lines, lambda x: x != F.lit("")), F.transform(paragraphs, lambda p: F.translate(p, "\t", " ")))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license: as many rows as the list has texts."""
+    """digest, license: as many rows as the list has texts, at most."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
-    return rows.select(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select(F.sha2(_whole(canonical_lines(F.col("text"))), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, digest (of the whole canonical text), license (of the whole text, or null), line_licenses (of its lines, sorted), n_license_lines."""
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
-    lines = canonical_lines(docs["text"])
-    longest = max(len(t) for _, t in (KNOWN if known is None else known)) * 2
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
-    # a longer line or text cannot be canonical text of a known one: no digest of it can match
-    base = base.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.transform(F.filter("lines", lambda x: F.length(x) <= longest), lambda x: F.sha2(x, 256)).alias("parts"))
-    found = base.join(digests, "digest", "left")
-    names = F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("names")
-    by_line = known_digests(docs.sparkSession, known).agg(names)
-    names = by_line.first()["names"]  # as many entries as the list of known texts
-    listed = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
-    hits = F.filter(F.transform("parts", lambda x: F.try_element_at(listed, x)), lambda x: x.isNotNull())
-    return found.select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct(hits)), ",").alias("line_licenses"), F.size(hits).cast("long").alias("n_license_lines"))
+    """doc_id, digest (of the whole canonical text), license (of the whole text, or null), line_licenses (of its lines and paragraphs, sorted), n_license_lines (such lines and paragraphs)."""
+    digests = written(known_digests(docs.sparkSession, known), "licenses")
+    digests = F.broadcast(digests) if len(KNOWN if known is None else known) <= BROADCAST else digests
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2"), canonical_lines(F.col("text")).alias("lines"))
+    base = written(base.select("doc_id", "r1", "r2", F.sha2(_whole(F.col("lines")), 256).alias("digest"), F.transform(_parts(F.col("lines")), lambda x: F.sha2(x, 256)).alias("parts")), "digests")
+    # equal rows have equal parts: each place of a text counts once
+    hits = base.select("r1", "r2", F.posexplode("parts").alias("pos", "digest")).join(digests, "digest").groupBy("r1", "r2", "pos").agg(F.min("license").alias("license"))
+    hits = hits.groupBy("r1", "r2").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
+    found = base.drop("parts").join(digests, "digest", "left").join(hits, ["r1", "r2"], "left")
+    return found.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
 def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,22 +171,25 @@ def _sql(s: str) -> str:
 
 
 def _canon_sql(col: str) -> str:
-    t = f"regexp_replace(lower(coalesce({col}, '')), '(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    t = f"regexp_replace(lower(coalesce({col}, '')), '{COPYRIGHT_LINE}', '', 'g')"
     t = f"' ' || replace(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for a, b in SPELLINGS:
         t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_transform(string_split({t}, chr(10)), lambda x: trim(x))"
 
 
 def oracle() -> str:
     known = ", ".join(f"('{_sql(n)}', '{_sql(t)}')" for n, t in KNOWN)
+    whole = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
     return f"""
-WITH k AS (SELECT sha256(array_to_string({_canon_sql('t')}, ' ')) AS digest, min(n) AS license FROM (VALUES {known}) v(n, t) GROUP BY 1),
-d AS (SELECT doc_id, {_canon_sql('text')} AS lines FROM documents),
-w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, list_transform(lines, lambda x: sha256(x)) AS parts FROM d),
-l AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(parts) AS digest FROM w) u JOIN k USING (digest)),
-g AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM l GROUP BY doc_id)
-SELECT w.doc_id, w.digest, k.license, coalesce(g.line_licenses, '') AS line_licenses, coalesce(g.n, 0) AS n_license_lines
-FROM w LEFT JOIN k ON w.digest = k.digest LEFT JOIN g ON w.doc_id = g.doc_id
+WITH k AS (SELECT sha256({whole}) AS digest, min(n) AS license FROM (SELECT n, {_canon_sql('t')} AS lines FROM (VALUES {known}) v(n, t)) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_canon_sql('text')} AS lines FROM documents),
+x AS (SELECT r, unnest(lines) AS x, generate_subscripts(lines, 1) AS p FROM d),
+y AS (SELECT r, x, p, count(*) FILTER (x = '') OVER (PARTITION BY r ORDER BY p) AS g FROM x),
+t AS (
+  SELECT r, x AS t FROM x WHERE x <> ''
+  UNION ALL SELECT r, string_agg(x, ' ' ORDER BY p) FROM y WHERE x <> '' GROUP BY r, g HAVING count(*) > 1),
+g AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, CAST(count(*) AS BIGINT) AS n FROM t JOIN k ON sha256(t.t) = k.digest GROUP BY r)
+SELECT doc_id, w.digest, k.license, coalesce(g.line_licenses, '') AS line_licenses, coalesce(g.n, 0) AS n_license_lines
+FROM (SELECT r, doc_id, sha256({whole}) AS digest FROM d) w LEFT JOIN k ON w.digest = k.digest LEFT JOIN g USING (r)
 """
-
