@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 
 #: White space of the source strings: wider than Java's \s, without U+0085.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 S, NOT_S = f"[{WS}]", f"[^{WS}]"
 #: ASCII word boundaries; Java's \b takes CJK letters for word characters.
 LB, RB = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -58,14 +58,19 @@ def squeeze(x: str) -> str:
 
 
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decomposition without marks, for the Latin, sign and full-width ranges."""
+    """Compatibility decomposition without marks: all of the Latin and sign ranges, and every character whose form holds ASCII letters or digits.
+
+    What is left out (Arabic and Hangul forms and the like) folds to other letters than ASCII, so no key can tell.
+    """
     one, many = {}, {}
-    for first, last in ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2100, 0x214F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)):
-        for point in range(first, last + 1):
-            c = chr(point)
-            d = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
-            if d != c and d:
-                (one if len(d) == 1 else many)[c] = d
+    near = {p for first, last in ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2070, 0x209C), (0x2100, 0x214F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)) for p in range(first, last + 1)}
+    for point in range(0xA0, 0x20000):
+        if 0xD800 <= point < 0xE000:
+            continue
+        c = chr(point)
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if d != c and d and (point in near or any(x.isascii() and x.isalnum() for x in d)):
+            (one if len(d) == 1 else many)[c] = d
     for points, to in ((range(0x2018, 0x201C), "'"), (range(0x201C, 0x2020), '"'), ([*range(0x2010, 0x2016), 0x2212], "-")):
         one.update(dict.fromkeys(map(chr, points), to))
     marks = "".join(map(chr, range(0x300, 0x370)))  # no counterpart: dropped
@@ -77,9 +82,10 @@ _FROM, _TO, _MANY = _folding()
 
 def deburr(x: str) -> str:
     """Accents, compatibility forms, curly quotes and dashes to plain characters."""
-    full = x
-    for c, d in _MANY.items():
-        full = f"replace({full}, {lit(c)}, {lit(d)})"
+    forms = "map(" + ", ".join(f"{lit(c)}, {lit(d)}" for c, d in _MANY.items()) + ")"
+    spelt = f"array_join(transform(split({x}, ''), c -> coalesce(try_element_at({forms}, c), c)), '')"
+    # hardly a text holds one; a translation looks each character up in a hash table, a class of them would be tried one by one
+    full = f"if(translate({x}, {lit(''.join(_MANY))}, '') <> {x}, {spelt}, {x})"
     return f"if({x} rlike {pat('[^ -~]')}, translate({full}, {lit(_FROM)}, {lit(_TO)}), {x})"
 
 
@@ -116,16 +122,17 @@ def strip_wrappers(x: str) -> str:
     return trim(sub(trim(text(x)), _WRAPPER))
 
 
-_NUMERIC = rf"(?:[{WS},;:]+|[{WS},]+\(?[0-9]+[0-9{WS}\-/]*\)?|[{WS},]+\({S}*[0-9]+[^()]*\)|[{WS},]+(?i:vol|volume|no|issue|pp|p)\.?{S}*[0-9]+[^\n]*)\z"
-PASSES = 8
+#: What a pass takes off the end, in this order: marks, numbers, a parenthesis that begins with one, a labelled number.
+_NUMERICS = [rf"[{WS},;:]+\z", rf"[{WS},]+\(?[0-9]+[0-9{WS}\-/]*\)?\z", rf"[{WS},]+\({S}*[0-9]+[^()]*\)\z", rf"(?i)[{WS},]+(?:vol|volume|no|issue|pp|p)\.?{S}*[0-9]+[^\n]*\z"]
 
 
 def strip_trailing_numerics(x: str) -> str:
-    """Trailing volume, issue and pages go, up to PASSES pieces; each rule takes a piece off the end."""
-    out = trim(text(x))
-    for _ in range(PASSES):
-        out = sub(out, _NUMERIC)
-    return trim(out)
+    """Trailing volume, issue and pages go, until nothing changes: a pass that changes something takes a separator, so there are no more passes than those."""
+    once = "s"
+    for rule in _NUMERICS:
+        once = sub(once, rule)
+    passes = f"sequence(0, regexp_count({text(x)}, {pat(f'[{WS},;:]+')}))"
+    return f"aggregate({passes}, {trim(text(x))}, (s, i) -> {trim(once)})"
 
 
 def drop_parenthesis(x: str) -> str:
@@ -225,6 +232,23 @@ def theme_class(x: str) -> str:
     return f"concat('sr-theme-', if({x} in ({', '.join(map(lit, THEMES))}), {x}, {lit(THEMES[0])}))"
 
 
-def host_allowed(url: str, suffixes: str = "com|[a-z]{2}|co[.][a-z]{2}|com[.][a-z]{2}", name: str = "scholar[.]google") -> str:
-    """Whether the url's host is the named one under one of the suffixes."""
-    return f"coalesce(try_parse_url({url}, 'HOST') rlike {pat(f'(?i)^{name}[.](?:{suffixes})$')}, false)"
+#: Hosts of the result pages.
+HOSTS = (
+    "scholar.google.com", "scholar.google.com.hk", "scholar.google.com.tw", "scholar.google.com.sg", "scholar.google.com.au", "scholar.google.com.br", "scholar.google.co.uk", "scholar.google.co.jp",
+    "scholar.google.co.kr", "scholar.google.co.in", "scholar.google.ca", "scholar.google.de", "scholar.google.fr", "scholar.google.it", "scholar.google.es", "scholar.google.nl", "scholar.google.ru",
+    "scholar.google.ch", "scholar.google.se", "scholar.google.pl", "scholar.google.cn", "xueshu.lanfanshu.cn", "scholar.lanfanshu.cn", "sc.panda985.com",
+)
+
+
+def host_allowed(url: str, hosts: tuple[str, ...] = HOSTS) -> str:
+    """Whether the url is an https page of one of the hosts; '*.name' allows the name and all hosts under it."""
+    host = f"lower(try_parse_url({url}, 'HOST'))"
+    whole = [h.lower() for h in hosts if not h.startswith("*.")]
+    under = [h[2:].lower() for h in hosts if h.startswith("*.")]
+    tests = ([f"{host} in ({', '.join(map(lit, whole))})"] if whole else []) + [f"({host} = {lit(h)} or endswith({host}, {lit('.' + h)}))" for h in under]
+    return f"coalesce(try_parse_url({url}, 'PROTOCOL') = 'https' and ({' or '.join(tests)}), false)"
+
+
+def megabytes(n_bytes: str) -> str:
+    """A size in bytes as text with two decimals, in MB."""
+    return f"concat(format_number({n_bytes} / 1048576, '0.00'), ' MB')"

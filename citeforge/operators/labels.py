@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .settings import DEFAULTS, label_switches
 
-#: Switches and their defaults.
-SETTINGS = {"preprint": True, "tags": True, "ccf": True, "core": True, "top": True, "ei": True, "cas": True, "jcr": False, "if": True, "warn": True, "unmatched": False}
+#: Switches and their defaults, by the key of the label.
+SETTINGS = label_switches(DEFAULTS)
 #: Ranks that are shown, with their text and style.
 CORE_LABELS = {"A*": ("A*", "astar"), "A": ("A", "a"), "B": ("B", "b"), "C": ("C", "c"), "Australasian A": ("澳新A", "aus"), "Australasian B": ("澳新B", "aus"), "Australasian C": ("澳新C", "aus")}
 KIND = "struct<key:string,text:string,cls:string,title:string>"
@@ -22,6 +23,7 @@ def _label(key, text, cls, title) -> Column:
 def labels(settings: dict | None = None) -> Column:
     """Array of labels for a row of lookup()."""
     on = SETTINGS | (settings or {})
+    # Texts, styles and titles of the labels below.
     c, k, j = F.col, F.concat, "journal."
     shown = lambda name, cond, label: F.when(cond, label) if on[name] else F.lit(None).cast(KIND)
     ccf = _label("ccf", k(F.lit("CCF "), c("ccf.rank")), k(F.lit("sr-ccf sr-ccf-"), F.lower("ccf.rank")), k(F.lit("CCF "), c("ccf.rank"), F.when(c("ccf.type") == "journal", " 类期刊\n").otherwise(" 类会议\n"), F.coalesce("ccf.abbr", F.lit("")), F.lit(" — "), c("ccf.name"), F.lit("\n领域："), F.coalesce("ccf.field", F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import ABBREV, PASSES, SERVERS, STOPWORDS
+from ..functions.text import ABBREV, SERVERS, STOPWORDS
 from ..seed import TAGS, alias_rows, entry_rows
 from ..seed import JOURNALS
 
@@ -47,14 +47,17 @@ def strip_wrappers(x: str) -> str:
     return f"trim({sub(f'trim({x})', _WRAP)})"
 
 
-_NUM = r"(?:[\s,;:]+|[\s,]+\(?[0-9]+[0-9\s\-/]*\)?|[\s,]+\(\s*[0-9]+[^()]*\)|[\s,]+(?i:vol|volume|no|issue|pp|p)\.?\s*[0-9]+.*)$"
+_NUMS = [r"[\s,;:]+$", r"[\s,]+\(?[0-9]+[0-9\s\-/]*\)?$", r"[\s,]+\(\s*[0-9]+[^()]*\)$", r"(?i)[\s,]+(?:vol|volume|no|issue|pp|p)\.?\s*[0-9]+.*$"]
 
 
-def strip_trailing_numerics(x: str) -> str:
+def strip_trailing_numerics(x: str, passes: int = 16) -> str:
+    """More passes than any sample has pieces."""
     out = f"trim({x})"
-    for _ in range(PASSES):
-        out = sub(out, _NUM)
-    return f"trim({out})"
+    for _ in range(passes):
+        for rule in _NUMS:
+            out = sub(out, rule)
+        out = f"trim({out})"
+    return out
 
 
 def drop_parenthesis(x: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from .. import seed
 from ..functions import candidates as C
 from ..functions import text as T
-from ..operators.catalog import prefix_dictionary, rank_counts
-from ..operators.labels import explain, labels
+from ..operators.annotate import annotate_pages, page_venues
+from ..operators.catalog import conference_index, journal_counts, merge_journals, prefix_dictionary, rank_counts, source_counts
+from ..operators.labels import explain, first_with_labels, labels
 from ..operators.match import Catalogs, candidate_keys, candidates, containment_pairs, lookup, match, match_tags
 from ..sources import files, pages
+from ..sources.tables import dropped_at_end, shared_dir
 from ..streaming.annotate import drain
 from . import duck as D
 from .samples import BYLINES, VENUES
@@ -154,12 +157,12 @@ def jn6_seed(spark, d):
 
 
 @query("jn6_containment", f"""
-WITH b AS (SELECT item_id, list_distinct({D.tokens_of('text')}) AS ts FROM benchmark), c AS (SELECT doc_id, list_distinct({D.tokens_of('text')}) AS ts FROM documents),
-p AS (SELECT item_id, doc_id, len(list_intersect(b.ts, c.ts)) / CAST(least(len(b.ts), len(c.ts)) AS DOUBLE) AS s FROM b, c WHERE len(b.ts) >= 4 AND len(c.ts) >= 4)
+WITH b AS (SELECT item_id, list_distinct({D.tokens_of('text')}) AS ts FROM benchmark), c AS (SELECT doc_id, list_distinct(ws) AS ts FROM (SELECT doc_id, {D.tokens_of('text')} AS ws FROM documents) WHERE len(ws) >= 4),
+p AS (SELECT item_id, doc_id, len(list_intersect(b.ts, c.ts)) / CAST(least(len(b.ts), len(c.ts)) AS DOUBLE) AS s FROM b, c WHERE len(b.ts) >= 4)
 SELECT item_id, doc_id, round(s, 6) AS score FROM p WHERE s >= 0.85""")
 def jn6(spark, d):
-    left = table(spark, d, "benchmark").select(F.col("item_id").alias("l"), F.array_distinct(F.expr(T.tokens_of("text"))).alias("tokens"))
-    right = table(spark, d, "documents").select(F.col("doc_id").alias("r"), F.array_distinct(F.expr(T.tokens_of("text"))).alias("tokens"))
+    left = table(spark, d, "benchmark").select(F.col("item_id").alias("l"), F.expr(T.tokens_of("text")).alias("tokens"))
+    right = table(spark, d, "documents").select(F.col("doc_id").alias("r"), F.expr(T.tokens_of("text")).alias("tokens")).where(F.size("tokens") >= 4)
     return containment_pairs(left, right, 0.85, 4).select(F.col("l").alias("item_id"), F.col("r").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -173,16 +176,17 @@ def jn9_index(spark, d):
     return _seed(spark).index.abbrs.select("catalog", "abbr", "ord")
 
 
-@query("jn9_anti_alias", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def jn9(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("jn10_upsert", "SELECT coalesce(s.k, c.k) AS k, CASE WHEN s.k IS NOT NULL THEN s.name ELSE c.name END AS name FROM (SELECT c_nationkey AS k, arg_min(c_name, c_custkey) AS name FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, arg_max(s_name, s_suppkey) AS name FROM supplier GROUP BY 1) s ON c.k = s.k")
-def jn10(spark, d):
-    first = table(spark, d, "customer").selectExpr("c_nationkey AS k", "c_name AS name", "struct(1 AS prio, c_custkey AS o) AS at")
-    over = table(spark, d, "supplier").selectExpr("s_nationkey AS k", "s_name AS name", "struct(0 AS prio, -s_suppkey AS o) AS at")
-    return first.union(over).groupBy("k").agg(F.min_by("name", "at").alias("name"))
+@query("index_volume", f"""
+WITH e AS (SELECT CAST(p_partkey AS INT) AS ord, p_brand AS abbr, p_name || ' ' || p_type || ' (v' || p_size || ')' AS name FROM part),
+t AS (SELECT n_name AS src, n_nationkey AS alias_ord, min(ord) AS ord FROM nation JOIN e ON upper(e.abbr) = 'BRAND#' || n_nationkey GROUP BY 1, 2),
+r AS (
+  SELECT {D.normalize_name('name')} AS key, ord, 2 AS p, ord AS a, 0 AS b FROM e UNION ALL SELECT {D.normalize_name(D.drop_parenthesis('name'))}, ord, 2, ord, 1 FROM e UNION ALL SELECT {D.normalize_name('abbr')}, ord, 2, ord, 2 FROM e
+  UNION ALL SELECT {D.normalize_name('src')}, ord, 1, -alias_ord, 0 FROM t)
+SELECT key, ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p, a, b) AS n FROM r WHERE key <> '' AND (p < 2 OR length(key) >= 4)) WHERE n = 1""")
+def index_volume(spark, d):
+    entries = table(spark, d, "part").selectExpr("'ccf' AS catalog", "cast(p_partkey AS int) AS ord", "p_brand AS abbr", "concat(p_name, ' ', p_type, ' (v', p_size, ')') AS name", "'A' AS rank")
+    aliases = table(spark, d, "nation").selectExpr("'names' AS kind", "n_nationkey AS ord", "n_name AS src", "concat('Brand#', n_nationkey) AS target")
+    return conference_index(entries, aliases).keys.select("key", "ord")
 
 
 @query("jn11_missing_alias", f"WITH {D.index()} SELECT kind, src, target FROM targets WHERE ord IS NULL AND (catalog = 'ccf' OR kind = 'core_names')")
@@ -197,11 +201,6 @@ def jn12(spark, d):
     return match_tags(cand, match(cand, cats), cats).select("raw", "tag_ord")
 
 
-@query("jn14_dimension", "SELECT r_name, CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def jn14(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
-
-
 @query("venue_prefixes", f"WITH {D.index()}, p AS (SELECT catalog, ref, key[1:n] AS prefix FROM (SELECT catalog, ref, key, unnest(range(14, length(key))) AS n FROM all_keys)) SELECT catalog, prefix, min(ref) AS ref FROM p GROUP BY 1, 2 HAVING count(DISTINCT ref) = 1")
 def prefixes(spark, d):
     cats = _seed(spark)
@@ -232,11 +231,35 @@ def venue_badges(spark, d):
     return explain(lookup(venues(spark), _seed(spark))).select("raw", "labels")
 
 
-@query("agg1_merge", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def _sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Driver tables in the shape of the four journal sources; names repeat within and across them."""
+    cas = table(spark, d, "part").selectExpr("cast(p_partkey AS int) AS ord", "p_name AS name", "'' AS issns", "p_brand AS wos", "p_type AS cat", "cast(p_size AS string) AS zone", "if(p_size > 25, '是', '否') AS top", "'' AS sub", "'' AS sub_zone")
+    jcr = table(spark, d, "customer").selectExpr("cast(c_custkey AS int) AS ord", "concat(c_mktsegment, ' ', c_nationkey) AS name", "cast(c_acctbal AS string) AS impact", "concat('Q', c_custkey % 6) AS quartile", "'' AS wos", "'' AS issn", "'' AS eissn")
+    warn = table(spark, d, "supplier").selectExpr("cast(s_suppkey AS int) AS ord", "concat('building ', s_nationkey) AS name", "if(s_suppkey % 3 = 0, '', s_name) AS reason")
+    return {"cas": cas, "jcr": jcr, "warn": warn, "ei": table(spark, d, "part").where("p_size < 5").selectExpr("cast(p_partkey AS int) AS ord", "p_name AS name")}
+
+
+_MERGED = f"""WITH a AS (SELECT {D.normalize_name('p_name')} AS key, * FROM part), b AS (SELECT {D.normalize_name("c_mktsegment || ' ' || c_nationkey")} AS key, c_mktsegment || ' ' || c_nationkey AS name, * FROM customer),
+c AS (SELECT {D.normalize_name("'building ' || s_nationkey")} AS key, 'building ' || s_nationkey AS name, * FROM supplier),
+ka AS (SELECT key, arg_max(p_name, p_partkey) AS n, arg_max(p_brand, p_partkey) AS wos, arg_max(p_type, p_partkey) AS cat, arg_max(p_size, p_partkey) FILTER (p_size BETWEEN 1 AND 4) AS zone, max(1) FILTER (p_size > 25) AS top, max(1) FILTER (p_size < 5) AS ei FROM a GROUP BY key),
+kb AS (SELECT key, arg_min(name, c_custkey) AS n, arg_max(c_acctbal, c_custkey) AS impact, arg_max('Q' || (c_custkey % 6), c_custkey) FILTER (c_custkey % 6 BETWEEN 1 AND 4) AS quartile FROM b GROUP BY key),
+kc AS (SELECT key, arg_min(name, s_suppkey) AS n, arg_max(CASE WHEN s_suppkey % 3 = 0 THEN '预警' ELSE s_name END, s_suppkey) AS warn FROM c GROUP BY key),
+merged AS (SELECT key, coalesce(ka.n, kb.n, kc.n) AS n, wos, cat, CAST(zone AS INT) AS zone, top, impact, quartile, warn, ei FROM ka FULL JOIN kb USING (key) FULL JOIN kc USING (key) WHERE key <> '')"""
+
+
+@query("agg1_journal_merge", _MERGED + " SELECT * FROM merged")
 def agg1(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    rows = docs.unionByName(table(spark, d, "labels"), allowMissingColumns=True)
-    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("lang", "n_chars", "quality", "toxic")])
+    return merge_journals(**_sources(spark, d)).select("key", "n", "wos", "cat", "zone", "top", "impact", "quartile", "warn", "ei")
+
+
+@query("agg4_journal_counts", _MERGED + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(zone) AS BIGINT) AS n_zone, CAST(count(impact) AS BIGINT) AS n_impact, CAST(count(ei) AS BIGINT) AS n_ei FROM merged")
+def agg4(spark, d):
+    return journal_counts(merge_journals(**_sources(spark, d)))
+
+
+@query("agg5_source_counts", _MERGED + " SELECT 'cas' AS source, CAST(count(*) AS BIGINT) AS n FROM a WHERE key <> '' UNION ALL SELECT 'jcr', count(*) FROM b WHERE key <> '' UNION ALL SELECT 'warn', count(*) FROM c WHERE key <> '' UNION ALL SELECT 'ei', count(*) FROM a WHERE key <> '' AND p_size < 5")
+def agg5(spark, d):
+    return source_counts(**_sources(spark, d))
 
 
 @query("agg2_type_rank", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2")
@@ -249,19 +272,10 @@ def agg3(spark, d):
     return rank_counts(table(spark, d, "documents"), "source")
 
 
-@query("agg4_conditional", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS n_returned, CAST(count(*) FILTER (l_discount > 0.05) AS BIGINT) AS n_discounted FROM lineitem")
-def agg4(spark, d):
-    return table(spark, d, "lineitem").selectExpr("count(*) AS n", "count_if(l_returnflag = 'R') AS n_returned", "count_if(l_discount > 0.05) AS n_discounted")
-
-
-@query("agg5_source_rows", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> '' GROUP BY 1")
-def agg5(spark, d):
-    return table(spark, d, "events").where("event_type <> ''").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-@query("wn1_first_match", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
-def wn1(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+@query("wn4_first_labelled", "SELECT user_id AS line_id, arg_min(event_type, event_id) AS label, min(event_id) AS pos FROM events WHERE value > 50 GROUP BY 1")
+def wn4(spark, d):
+    rows = table(spark, d, "events").selectExpr("user_id AS line_id", "event_id AS pos", "if(value > 50, array(event_type), cast(array() AS array<string>)) AS labels")
+    return first_with_labels(rows).selectExpr("line_id", "labels[0] AS label", "pos")
 
 
 @query("agg7_intersection", f"SELECT p_partkey, CAST(len(list_intersect(list_distinct({D.tokens_of('p_name')}), list_distinct({D.tokens_of('p_type')}))) AS INT) AS shared FROM part")
@@ -275,15 +289,12 @@ for _a, _b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("
     _TITLE_TEXT = f"replace({_TITLE_TEXT}, '{_a}', '{_b}')"
 
 
-@query("sc8_html_extract", f"SELECT page_id, trim(regexp_replace(regexp_replace({_TITLE_TEXT}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<a[^>]*?href=\"([^\"]*)\"', 1) AS link, CAST(len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS INT) AS paragraphs FROM pages")
+@query("sc8_html_rows", f"""SELECT page_id, trim(regexp_replace(regexp_replace({_TITLE_TEXT}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<a[^>]*?href="([^"]*)"', 1) AS link,
+CAST(len(regexp_extract_all(html, '(?s)<body[^>]*>(.*?)</body>', 1)) AS INT) AS n_rows, CAST(len(cells) AS INT) AS n_cells, cells[1] AS first_cell
+FROM (SELECT *, regexp_extract_all(regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1), '(?s)<p[^>]*>(.*?)</p>', 1) AS cells FROM pages)""")
 def sc8(spark, d):
-    p = table(spark, d, "pages").select("page_id", files.page_title(F.col("html"), "").alias("t"), files.link_of(F.col("html")).alias("link"), F.size(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).alias("paragraphs"))
-    return p.selectExpr("page_id", f"{T.decode_entities('t')} AS title", "link", "paragraphs")
-
-
-@query("sc9_page_links", "SELECT page_id, CAST(i - 1 AS INT) AS pos, h AS href FROM (SELECT page_id, unnest(l) AS h, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages))")
-def sc9(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a[^>]*?href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    p = table(spark, d, "pages").select("page_id", files.page_title(F.col("html"), "").alias("t"), files.link_of(F.col("html")).alias("link"), files.html_rows(F.col("html"), r"<body[^>]*>(.*?)</body>", r"<p[^>]*>(.*?)</p>").alias("rows"))
+    return p.selectExpr("page_id", f"{T.decode_entities('t')} AS title", "link", "size(rows) AS n_rows", "coalesce(size(get(rows, 0)), 0) AS n_cells", "get(get(rows, 0), 0) AS first_cell")
 
 
 _CSV = 'a,"b, ""c""",d\r\n1,"x\ny",\r\n"",2,3\n'
@@ -295,9 +306,54 @@ def sc5(spark, d):
     return rows.select("row_no", F.posexplode("cells").alias("col_no", "cell"))
 
 
-@query("sm7_host_filter", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)^https?://(?:[^/?#]*\\.)?example\\.(?:com|org)(?:[/?#:]|$)')")
+@query("sm7_host_filter", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)^https://(?:[^/?#]*\\.)?example\\.(?:com|org)(?:[/?#:]|$)')")
 def sm7(spark, d):
-    return pages.allowed_pages(table(spark, d, "pages"), suffixes="com|org", name="(?:.*[.])?example").select("page_id", "url")
+    return pages.allowed_pages(table(spark, d, "pages"), ("*.example.com", "*.example.org")).select("page_id", "url")
+
+
+_URLS = [("https://scholar.google.com/scholar?q=a", True), ("https://scholar.google.co.uk/citations", True), ("https://xueshu.lanfanshu.cn/x", True), ("https://SC.panda985.com/", True), ("http://scholar.google.com/", False), ("https://scholar.google.zz/", False), ("https://scholar.google.com.evil.org/", False), ("not a url", False), (None, False)]
+
+
+@query("sm7_known_hosts", "SELECT url FROM " + D.values([(u,) for u, ok in _URLS if ok], "url", "v"))
+def sm7_known(spark, d):
+    return pages.allowed_pages(spark.createDataFrame([(u,) for u, _ in _URLS], "url string"))
+
+
+_PAGES = [
+    (1, '<table><tr class="gsc_a_tr"><td class="gsc_a_t"><a>T</a><div class="gs_gray">A B</div><div class="gs_gray">Multimedia Systems 30 (6), 351<span class="gs_oph">, 2024</span></div></td></tr><tr class="gsc_a_tr"><td class="gsc_a_t"><div class="gs_gray">arXiv preprint arXiv:1</div></td></tr></table>'),
+    (2, '<div class="gs_a">J <a href="x">Doe</a>&nbsp;- Multimedia Systems, 2015&nbsp;- springer.com</div><div class="gs_a">K Roe&nbsp;- Unknown Gazette, 2011&nbsp;- example.org</div>'),
+    (3, '<div id="gsc_vcd_table"><div class="gs_scl"><div class="gsc_vcd_field">Journal</div><div class="gsc_vcd_value">Multimedia Systems</div></div><div class="gs_scl"><div class="gsc_vcd_field">Pages</div><div class="gsc_vcd_value">1-9</div></div></div>'),
+]
+
+
+def _inline_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_PAGES, "page_id long, html string")
+
+
+@query("sc14_page_scans", "SELECT * FROM " + D.values([(1, "profile", 0, 0, "Multimedia Systems 30 (6), 351"), (1, "profile", 1, 0, "arXiv preprint arXiv:1"), (2, "search", 0, 0, "Multimedia Systems"), (2, "search", 1, 0, "Unknown Gazette"), (3, "detail", 0, 0, "Multimedia Systems")], "page_id, place, row_ord, pos, raw", "v"))
+def page_scans(spark, d):
+    return page_venues(_inline_pages(spark)).select("page_id", "place", "row_ord", "pos", "raw")
+
+
+_LINE_LABELS = "CCF C SCI升级版 计算机科学4区 JCR Q2 IF 3.1"
+
+
+@query("annotate_pages", "SELECT * FROM " + D.values([(1, "profile", 0, _LINE_LABELS), (1, "profile", 1, "arXiv"), (3, "detail", 0, _LINE_LABELS)], "page_id, place, row_ord, labels", "v"))
+def annotated(spark, d):
+    """With two switches turned, and the search place off."""
+    rows = annotate_pages(_inline_pages(spark), _seed(spark), {"showOnSearch": False, "showEi": "false", "showJcr": "true"})
+    return rows.select("page_id", "place", "row_ord", F.array_join(F.transform("labels", lambda x: x["text"]), " ").alias("labels"))
+
+
+_CORE = '1,"Conf, of X",CX,ICORE,a*,Yes,4611,CSE,zz\n2,Short,row\n3,Y,,S,national: China,No,,\n4,,N,S,A,No\n'
+
+
+@query("sc7_core_rows", "SELECT * FROM " + D.values([("CX", "Conf, of X", "A*", "机器学习/计算机科学与工程（旧分类）/zz", "a*"), ("", "Y", "National", "", "national: China")], "abbr, name, rank, field, rank_raw", "v"))
+def core_rows(spark, d):
+    path = f"{shared_dir(spark)}/core-{uuid.uuid4().hex}"
+    spark.createDataFrame([(_CORE,)], "value string").coalesce(1).write.text(path)
+    dropped_at_end(spark, path)
+    return files.read_core(spark, path).select("abbr", "name", "rank", "field", "rank_raw")
 
 
 @query("sf14_page_text", "SELECT page_id, trim(regexp_replace(" + "replace(" * 6 + "regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS body FROM pages")

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.catalog import conference_index, stored_index
+from .operators.catalog import conference_index
 from .operators.match import Catalogs, Options
-from .sources.tables import stored
 
 #: Name in use -> abbreviation of the entry.
 NAMES = [
@@ -144,4 +143,4 @@ def catalogs(spark: SparkSession, options: Options | None = None) -> Catalogs:
     entries = spark.createDataFrame(entry_rows(), ENTRY)
     aliases = spark.createDataFrame(alias_rows(), "kind string, ord int, src string, target string")
     tags = spark.createDataFrame(TAGS, "ord int, id string, label string, descr string, cls string, ccf array<string>, core array<string>, names array<string>")
-    return Catalogs(stored_index(conference_index(entries, aliases)), stored(journal_frame(spark), "journals"), tags, options or Options())
+    return Catalogs(conference_index(entries, aliases), journal_frame(spark), tags, options or Options()).ready()

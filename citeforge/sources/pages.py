@@ -9,7 +9,9 @@ from ..functions import candidates as C
 from ..functions import text as T
 
 #: Field names of a detail panel that hold a venue.
-DETAIL_FIELDS = ("journal", "conference", "source", "book", "期刊", "会议", "来源", "图书", "研讨会论文", "publication")
+DETAIL_FIELDS = ("期刊", "会议", "来源", "图书", "刊物", "journal", "conference", "source", "book", "publication")
+#: Classes of the cells of a detail panel; the second prefix is that of the full page.
+DETAIL_CELL = "gsc_(?:vcd|oci)_{}"
 _DIV = r"<div[^>]*class=\"[^\"]*\b{0}\b[^\"]*\"[^>]*>(.*?)</div>"
 
 
@@ -41,12 +43,17 @@ def detail_rows(pages: DataFrame) -> DataFrame:
     """page_id, row_ord, field, raw: values whose field names a venue."""
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?s)<div[^>]*class="[^"]*gs_scl[^"]*"[^>]*>(.*?</div>.*?</div>)'), F.lit(1))).alias("row_ord", "row"))
     cell = lambda c: node_text(F.get(_blocks(F.col("row"), c), F.lit(0)))
-    return rows.select("page_id", "row_ord", F.lower(cell("gsc_oci_field")).alias("field"), cell("gsc_oci_value").alias("raw")).where(F.col("field").isin(list(DETAIL_FIELDS)))
+    return rows.select("page_id", "row_ord", F.lower(cell(DETAIL_CELL.format("field"))).alias("field"), cell(DETAIL_CELL.format("value")).alias("raw")).where(F.col("field").isin(list(DETAIL_FIELDS)))
 
 
-def allowed_pages(pages: DataFrame, **hosts: str) -> DataFrame:
+def allowed_pages(pages: DataFrame, hosts: tuple[str, ...] = T.HOSTS) -> DataFrame:
     """Pages whose url is on an allowed host."""
-    return pages.where(T.host_allowed("url", **hosts))
+    return pages.where(T.host_allowed("url", hosts))
+
+
+def clear_labels(html: Column) -> Column:
+    """The html without lines of labels put in earlier, so that it can be annotated again."""
+    return F.regexp_replace(html, r'(?s)<span[^>]*class="[^"]*\bsr-row\b[^"]*"[^>]*>(?:<span[^>]*>[^<]*</span>)*</span>', "")
 
 
 def label_html(labels: Column) -> Column:

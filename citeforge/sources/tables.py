@@ -4,7 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Unset, only a local master has one of its own: there all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+def dropped_at_end(spark: SparkSession, path: str) -> None:
+    """Removes the folder when the JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -14,9 +30,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     lost executor loses nothing. The table goes when the JVM ends.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    dropped_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

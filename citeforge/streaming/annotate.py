@@ -8,6 +8,7 @@ dropDuplicates keeps all. A failing batch is reported and does not end the strea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import text as T
 from ..operators.labels import labels
 from ..operators.match import Catalogs, lookup
+from ..sources.tables import dropped_at_end, shared_dir
 
 
 def once(stream: DataFrame, keys: list[str], event_time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -46,12 +48,12 @@ def annotate(stream: DataFrame, catalogs: Catalogs, out: str, checkpoint: str, s
     return query.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def drain(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """Reads a folder of Parquet files as a stream to its end and returns each key's first row (a batch DataFrame)."""
-    import uuid
+def drain(spark: SparkSession, path: str, schema: str, keys: list[str], event_time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Reads a folder of Parquet files as a stream to its end and returns each key's first row (a batch DataFrame).
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    With event_time the state forgets keys older than the lateness; without, it keeps them all, which suits a bounded folder.
+    """
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
     if file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).isFile():  # a file source reads folders
@@ -59,7 +61,9 @@ def drain(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataF
     stream = reader.parquet(path)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{place}/rows/batch={batch_id}")
+        df.select(*stream.columns).write.mode("overwrite").parquet(f"{place}/rows/batch={batch_id}")
 
-    stream.dropDuplicates(keys).writeStream.foreachBatch(batch).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    first = once(stream, keys) if event_time is None else once(stream.withColumn("__time", stream[event_time]), keys, "__time", late)
+    first.writeStream.foreachBatch(batch).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    dropped_at_end(spark, place)
     return spark.read.schema(schema).parquet(f"{place}/rows/batch=*")
