@@ -71,14 +71,15 @@ def _sign(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
+def components(links: DataFrame, small: int = SMALL_LINKS, contracted: bool = False) -> DataFrame:
     """u, v (long) -> node, root: every node that has a link, with the smallest node it reaches.
 
-    Each task first contracts its own links. Few that are left are joined by one task; more by
+    Each task first contracts its own links, unless they are so already. Few that are left are joined by one task; more by
     rounds of large-star and small-star until nothing changes (O(log^2 n) rounds), all with
     joins that can be split at a hot node and partial minima.
     """
-    e = written(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
+    e = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
+    e = written(e if contracted else e.mapInArrow(_contract, "u long, v long"), "links")  # one Python worker a task is enough
     if e.count() <= small:
         e = e.coalesce(1).mapInArrow(_join_all, "u long, v long")
     else:

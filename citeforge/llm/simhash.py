@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, map_slices, table, texts_of, written
+from .common import free_names, map_slices, spread, table, texts_of, written
 from .graph import FLUSH_LINKS, Forest, components, runs, tiles
 
 SEED, SHINGLE, MAX_BITS, BLOCK = 42, 3, 2, 2048
@@ -72,8 +72,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
-#: Rows of a table entry from which pairs already joined are skipped, and rows dealt to a task before a fan-out.
-LONG_RUN, TASK_ROWS = 64, 2_000_000
+#: Rows of a table entry from which pairs already joined are skipped.
+LONG_RUN = 64
 
 
 def _join_near(most: int, width: int):
@@ -143,11 +143,6 @@ def _near(rows: DataFrame, most: int, width: int, block: int) -> DataFrame:
     return tiled.mapInArrow(_join_near(most, width), "u long, v long")
 
 
-def spread(nodes: DataFrame, fan: int) -> DataFrame:
-    """Rows that each are about to become `fan`, dealt over as many tasks as that needs."""
-    return nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() * fan // TASK_ROWS)))
-
-
 def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Distinct fp -> u, v: links that connect all fingerprints with at most max_bits (2 or less) differing bits."""
     if not 0 <= max_bits <= MAX_BITS:
@@ -163,7 +158,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     fps = written(fingerprints(docs, shingle), "fps")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
-    roots = components(near_links(nodes.select("fp"), max_bits))
+    roots = components(near_links(nodes.select("fp"), max_bits), contracted=True)
     # only groups of several fingerprints are in roots
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "first", F.coalesce("root", nodes["fp"]).alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -311,14 +306,14 @@ def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: in
     most = round(bits * differs + CHECK_SIGMAS * (bits * differs * (1 - differs)) ** 0.5)
     fields = ", ".join(f"w{i} long" for i in range(CHECK_WORDS))
     filed = spread(nodes.select("node", "fp"), 2 * (64 * words // segment)).mapInArrow(_filed(segment), f"key long, node long, {fields}")
-    likely = components(_near(filed, most, CHECK_WORDS, block))
+    likely = components(_near(filed, most, CHECK_WORDS, block), contracted=True)
     asked = nodes.select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).join(likely, "node")
     texts = plain.join(asked.select("r1", "r2"), ["r1", "r2"], "left_semi").select("r1", "r2", "text")
     sets = map_slices(texts, cut, "r1 long, r2 long, n_shingles long, shingles binary").dropDuplicates(["r1", "r2"])
     sets = written(sets.join(asked, ["r1", "r2"]).select("node", F.col("root").alias("key"), "n_shingles", "shingles"), "wide-sets")
     cols = ["key", "tile_i", "tile_j"]
     groups = tiles(sets, ["key"], F.col("node"), shingles, F.col("n_shingles")).select(*cols, "part", "node", "shingles")
-    roots = components(groups.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_alike(similarity), "u long, v long"))
+    roots = components(groups.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_alike(similarity), "u long, v long"), contracted=True)
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.r1").alias(one), F.col("first.r2").alias(two))
     return base.join(stay, [one, two], "left_semi").dropDuplicates([one, two]).select(*every)
