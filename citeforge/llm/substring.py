@@ -183,20 +183,22 @@ def _cut(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
 def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Inner join of rows with distinct keys (which have n, the number of rows of each key), whatever the skew.
 
-    Keys of more than one row in HOT_SHARE are fewer than HOT_SHARE, so they are broadcast; the rows of all others
-    are dealt by key, of which none holds more than that share.
+    Keys of more than one row in HOT_SHARE are fewer than HOT_SHARE, so they are broadcast; their rows are dealt over as
+    many parts as that share of rows needs, so no task gets more of a key.
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") * HOT_SHARE > F.lit(total)
-    few, rest = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
-    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(rest, on))
+    parts = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(total, 1))).cast("int")
+    hot = keys.withColumn("parts", parts).where("parts > 1").select(*on, "parts")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64(*RID, "start"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    again = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))).drop("n")
+    return dealt.join(again, [*on, "salt"]).drop("salt")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, text (kept words), n_words, n_removed, removed (word spans): one row a document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("rid2", F.xxhash64(F.lit(1), "doc_id", "text"))
-    found = written(anchor_rows(base, window, seed), "anchors")
+    found = anchor_rows(base, window, seed)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
     grams = written(grams.select("gram", "n", (F.col("a") != F.col("b")).alias("mixed")), "grams")
     seeds = written(_with_keys(found, grams, ["gram"]), "seeds")
