@@ -215,6 +215,16 @@ def venue_lookup(spark, d):
     return found.select("raw", "kind", "truncated", F.col("ccf.ord").cast("string").alias("ccf"), F.col("core.ord").cast("string").alias("core"), F.col("journal.key").alias("journal"), "via", "core_via")
 
 
+@query("lookup_volume", f"""WITH raws AS (SELECT v.raw || ', ' || p_partkey AS raw FROM part JOIN {D.values(list(enumerate(VENUES)), "i, raw", "v")} ON p_partkey % {len(VENUES)} = v.i),
+{D.candidates('raws')}, {D.index()}, {D.matching()} SELECT c.raw, c.kind, f.ref AS ccf, o.ref AS core, j.ref AS journal, coalesce(f.via, j.via, o.via) AS via
+FROM cand c LEFT JOIN best f ON f.raw = c.raw AND f.catalog = 'ccf' LEFT JOIN best o ON o.raw = c.raw AND o.catalog = 'core' LEFT JOIN best j ON j.raw = c.raw AND j.catalog = 'journal'""")
+def lookup_volume(spark, d):
+    """A distinct string for each part: a sample venue with one more number."""
+    names = F.element_at(F.array(*map(F.lit, VENUES)), (F.col("p_partkey") % len(VENUES) + 1).cast("int"))
+    found = lookup(table(spark, d, "part").select(F.concat_ws(", ", names, F.col("p_partkey").cast("string")).alias("raw")), _seed(spark))
+    return found.select("raw", "kind", F.col("ccf.ord").cast("string").alias("ccf"), F.col("core.ord").cast("string").alias("core"), F.col("journal.key").alias("journal"), "via")
+
+
 _TAG_LABELS = D.values([(t[0], t[2]) for t in seed.TAGS], "tag_ord, label", "g")
 _SLUG = "CASE e.rank WHEN 'Australasian A' THEN '澳新A' WHEN 'Australasian B' THEN '澳新B' WHEN 'Australasian C' THEN '澳新C' ELSE e.rank END"
 

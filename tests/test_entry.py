@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 DIR = "/root/testdata/sf0.001"
-CHEAP = ["sf2_normalize_key", "sf6_strip_wrappers", "sf9_strip_numerics", "fp1_classify", "sf20_rank_text", "sm1_numbers", "ag1_candidates", "ag5_acronyms", "ag9_byline", "jn6_containment", "jn7_alias_targets", "jn9_alias_acronyms", "index_volume", "jn11_missing_alias", "venue_prefixes", "agg1_journal_merge", "agg4_journal_counts", "agg5_source_counts", "wn4_first_labelled", "agg7_intersection", "sc5_csv_cells", "sc7_core_rows", "sc8_html_rows", "sc14_page_scans", "annotate_pages", "sm7_host_filter", "sm7_known_hosts", "sf14_page_text", "sm5_presentation", "ss_microbatch"]
+CHEAP = ["sf2_normalize_key", "sf6_strip_wrappers", "sf9_strip_numerics", "fp1_classify", "sf20_rank_text", "sm1_numbers", "ag1_candidates", "ag5_acronyms", "ag9_byline", "jn6_containment", "jn7_alias_targets", "jn9_alias_acronyms", "index_volume", "jn11_missing_alias", "venue_prefixes", "lookup_volume", "agg1_journal_merge", "agg4_journal_counts", "agg5_source_counts", "wn4_first_labelled", "agg7_intersection", "sc5_csv_cells", "sc7_core_rows", "sc8_html_rows", "sc14_page_scans", "annotate_pages", "sm7_host_filter", "sm7_known_hosts", "sf14_page_text", "sm5_presentation", "ss_microbatch"]
 
 
 def rows(table):
