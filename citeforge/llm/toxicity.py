@@ -140,6 +140,8 @@ class Restorer:
 
     def words(self, word: str) -> list[str]:
         """Restored words of one lower-case word (or of letters spelt out with blanks)."""
+        if word.isalpha() and not _REPEAT.search(word):
+            return [word]
         core = _TAIL.sub("", word.strip(_EDGE)).strip(_EDGE)
         if core.isalpha() and not _REPEAT.search(core):
             return [core]
@@ -159,11 +161,16 @@ def spelt_out(words: list[str], odd: Callable[[str], bool] | None = None) -> lis
             kept = [w for k, w in enumerate(run) if k < 3 or not w == run[k - 1] == run[k - 2] == run[k - 3]]
             out += [" ".join(kept[k : k + 40]) for k in range(0, len(kept), 32)]  # overlapping pieces of bounded length
     if odd is not None:
-        short = bytes([len(w) <= PIECE and w.isalpha() for w in words])
-        for m in re.finditer(rb"\x01{2,}", short):
-            run = words[m.start() : m.end()]
-            for k in [k for k, w in enumerate(run) if len(w) > 1 and odd(w)]:
-                out.append(" ".join(run[max(0, k - AROUND) : k + AROUND + 1]))
+        short = {w for w in set(words) if len(w) <= PIECE and w.isalpha()}
+        strange = {w for w in short if len(w) > 1 and odd(w)}
+        for k in [k for k, w in enumerate(words) if w in strange] if strange else ():
+            first = last = k
+            while first > max(0, k - AROUND) and words[first - 1] in short:
+                first -= 1
+            while last < min(len(words) - 1, k + AROUND) and words[last + 1] in short:
+                last += 1
+            if first < last:
+                out.append(" ".join(words[first : last + 1]))
     return out
 
 
