@@ -6,14 +6,16 @@ gram at the same place, and a run of neighbouring windows shares an anchor: abou
 fourteen words is shuffled instead of one a window.
 
 Seeds: anchors whose gram occurs once in the corpus are dropped; none of their windows repeats.
-Extension: the words under all windows of an anchor are digested as one span. If all
-occurrences of a gram have the same span, all these windows repeat at once. Otherwise the match
-ends somewhere within, and the windows are digested one by one and counted (key: gram digest and
+Extension: from the gram to the left and right, over all of its occurrences at once: the words under all windows of
+an anchor are digested as one span. If all occurrences of a gram have the same span, all these windows repeat
+at once. Otherwise the match of some ends somewhere within, and the windows are digested one by one and counted (key: gram digest and
 window digest, 128 bits). Repeated windows that overlap or touch are the maximal repeats; every
 occurrence is removed, the first included.
 
-Null text has no words. Documents are told apart by id and text, so a repeated row counts as
-another document (its windows repeat); empty and short texts keep all words.
+Null text has no words. Documents are told apart by 128 bits of id and text, and each row counts as a
+document, so the windows of a repeated row repeat; empty and short texts keep all words. An empty table gives
+no row. Other columns are not read, whatever their names. A text of any length is read whole; a worker holds some
+50 bytes a byte of the longest one.
 """
 
 from __future__ import annotations
