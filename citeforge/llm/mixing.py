@@ -12,8 +12,8 @@ comes from counts of (source, size) and (source, size, id bucket) cells: no task
 source, and a source that holds a third of all rows is spread over all tasks.
 
 Null text has size 0; null source is a source of its own; documents of size 0 take nothing.
-Repeated rows are separate documents. Ties in size go by id modulo BUCKETS, then id, then a hash of the text, so reruns
-repeat the same texts. Only doc_id, text, source and carried columns are read; a carried one keeps its values as
+Repeated rows are separate documents. Ties in size go by id modulo BUCKETS, then id, then a hash of the text and carried columns,
+so reruns repeat the same rows. Only doc_id, text, source and carried columns are read; a carried one keeps its values as
 carry_<name>. An empty table gives no row.
 """
 
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     """doc_id, size, source_size, target, copies, and the columns of `carry` as carry_<name>, one row a document."""
     cell = ["src", "size", "bucket"]
     key = [_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(BUCKETS)), F.lit(-1)).alias("bucket")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.xxhash64(F.col("text")).alias("tie"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.xxhash64("text", *[F.col(f"`{c}`") for c in carry]).alias("tie"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     cells = written(rows.groupBy(*cell).agg(F.count("*").alias("n")), "mix-cells")
     by_size = cells.groupBy("src", "size").agg(F.sum("n").alias("m"))
     first = by_size.select("src", "size", F.coalesce(F.sum("m").over(W.partitionBy("src").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"))
