@@ -15,7 +15,7 @@ it proposes are compared by the shingles themselves.
 
 Exact copies share a fingerprint and are one member. Null or wordless text: fingerprint 0, linked
 like any other. A null doc_id is the smallest of no group unless its group has no other.
-Repeated rows are separate rows of one group.
+Repeated rows are separate rows of one group. An empty table gives no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -238,36 +238,57 @@ def _filed(segment: int):
     return run
 
 
+def _near_hub(similarity: float):
+    """node, key, shingles, hub (the shingles of the group's hub) -> node, key of the rows alike to it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for own, hub in zip(batch.column("shingles"), batch.column("hub"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, hub))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-6)
+            yield batch.select(["node", "key"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _alike(similarity: float):
-    """Spanning forest of the pairs in each tile whose shingle sets have this Jaccard similarity; every pair not yet joined is looked at."""
+    """Spanning forest of the pairs in each tile, one of the left and one of the right, whose shingle sets have this Jaccard similarity.
+
+    Every pair that is not yet joined is looked at; rows that are alike to the hub are joined from the start.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[int] = []
         vs: list[int] = []
         for tile in runs(batches, ("key", "tile_i", "tile_j")):
-            if len(tile) < 2:
+            n, side, hubbed = (tile.column(c).to_numpy() for c in ("node", "side", "hubbed"))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
                 continue
-            i, j = tile.column("tile_i")[0].as_py(), tile.column("tile_j")[0].as_py()
-            n, p = tile.column("node").to_numpy(), tile.column("part").to_numpy()
+            names, who = np.unique(n, return_inverse=True)
+            group = np.arange(len(names))
+            group[who[hubbed == 1]] = -1
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles")]
             sizes = np.array([len(x) for x in sets])
             kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.cumsum(sizes)
-            right = np.flatnonzero(p == j)
-            flat = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right]) if len(right) else at[:0]
+            flat = np.concatenate([at[ends[k] - sizes[k] : ends[k]] for k in right])
             first = np.cumsum(sizes[right]) - sizes[right]
-            group, mark = np.arange(len(n)), np.zeros(len(kinds), np.int32)
-            for k in np.flatnonzero(p == i):
-                if (group[right] == group[k]).all():
+            mark = np.zeros(len(kinds), np.int32)
+            for k in left:
+                apart = group[who[right]] != group[who[k]]
+                if not apart.any():
                     continue
                 own = at[ends[k] - sizes[k] : ends[k]]
                 mark[own] = 1
                 both = np.add.reduceat(mark[flat], first)
                 mark[own] = 0
                 # the slack is far below the step of any fraction and far above its rounding
-                for c in right[both >= similarity * (sizes[k] + sizes[right] - both) - 1e-6]:
-                    if group[c] != group[k]:
-                        group[group == group[c]] = group[k]
+                for c in right[apart & (both >= similarity * (sizes[k] + sizes[right] - both) - 1e-6)]:
+                    if group[who[c]] != group[who[k]]:
+                        group[group == group[who[c]]] = group[who[k]]
                         us.append(int(n[k]))
                         vs.append(int(n[c]))
             if len(us) > FLUSH_LINKS:
@@ -278,6 +299,33 @@ def _alike(similarity: float):
     return run
 
 
+def alike_links(sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """node, key (group), n_shingles, shingles -> u, v: links that connect the rows of a group that are alike.
+
+    First all rows of a group are compared with its hub (the row whose node is the key), a group of many near copies being dealt
+    over parts of `block` shingles; this joins most of them at one comparison each. Then the rows that are left are
+    compared with all rows of their group, in tiles of a part of the one and a part of the others.
+    """
+    parts = lambda n: F.ceil(F.sum(n) / F.lit(block)).cast("int")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sizes = written(sets.groupBy("key").agg(parts("n_shingles").alias("parts")), "group-sizes")
+    sized = sets.join(sizes, "key")
+    hubs = sized.where("node = key").select("key", every(F.col("parts")).alias("part"), F.col("shingles").alias("hub"))
+    dealt = sized.where("node <> key").withColumn("part", place(F.col("parts"), 0)).join(hubs, ["key", "part"])
+    near = written(dealt.select("node", "key", "shingles", "hub").mapInArrow(_near_hub(similarity), "node long, key long"), "near-hub")
+    rest = sets.where("node <> key").join(near.select("node"), "node", "left_anti")
+    left_parts = written(rest.groupBy("key").agg(parts("n_shingles").alias("left_parts")), "rest-sizes")
+    cols = ["key", "tile_i", "tile_j"]
+    left = rest.join(left_parts, "key").join(sizes, "key").withColumn("tile_i", place(one("left_parts"), 1)).withColumn("tile_j", every(F.col("parts")))
+    right = sets.join(left_parts, "key").join(sizes, "key").join(near.select("node", F.lit(1).alias("hubbed")), "node", "left")
+    right = right.withColumn("hubbed", F.greatest(F.coalesce("hubbed", F.lit(0)), (F.col("node") == F.col("key")).cast("int"))).withColumn("tile_j", place(F.col("parts"), 2)).withColumn("tile_i", every(one("left_parts")))
+    rows = left.select(*cols, "node", F.lit(0).alias("side"), F.lit(0).alias("hubbed"), "shingles").unionByName(right.select(*cols, "node", F.lit(1).alias("side"), "hubbed", "shingles"))
+    tiled = rows.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_alike(similarity), "u long, v long")
+    return near.select(F.col("node").alias("u"), F.col("key").alias("v")).unionByName(tiled)
+
+
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents without exact and near copies: of each group the one of the smallest doc_id stays (null ids last).
 
@@ -310,10 +358,8 @@ def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, block: in
     asked = nodes.select("node", F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).join(likely, "node")
     texts = plain.join(asked.select("r1", "r2"), ["r1", "r2"], "left_semi").select("r1", "r2", "text")
     sets = map_slices(texts, cut, "r1 long, r2 long, n_shingles long, shingles binary").dropDuplicates(["r1", "r2"])
-    sets = written(sets.join(asked, ["r1", "r2"]).select("node", F.col("root").alias("key"), "n_shingles", "shingles"), "wide-sets")
-    cols = ["key", "tile_i", "tile_j"]
-    groups = tiles(sets, ["key"], F.col("node"), shingles, F.col("n_shingles")).select(*cols, "part", "node", "shingles")
-    roots = components(groups.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_alike(similarity), "u long, v long"), contracted=True)
+    sets = written(sets.join(asked, ["r1", "r2"]).select("node", F.col("root").alias("key"), "n_shingles", "shingles").where("n_shingles > 0"), "wide-sets")
+    roots = components(alike_links(sets, similarity, shingles), contracted=True)
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = grouped.select(F.col("first.r1").alias(one), F.col("first.r2").alias(two))
     return base.join(stay, [one, two], "left_semi").dropDuplicates([one, two]).select(*every)

@@ -51,5 +51,18 @@ def test_stages(spark, tmp_path):
         assert x.decoded == (masked[x.doc_id].text or "") and x.ids == t.encode(x.decoded) and x.n_tokens == len(x.ids)
 
 
+def test_run_and_empty_table(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(EN) for _ in range(60)), "en", f"s{i % 2}", 0) for i in range(40)]
+    for name, kept in (("some", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert {"doc_id", "n_tokens", "ids", "decoded"} <= set(out.columns)
+        text = {i: t for i, t, *_ in kept}
+        assert all(x.decoded == text[x.doc_id] for x in out.collect()) and bool(out.count()) == bool(kept)
+
+
 def test_redact_overlaps():
     assert pii.redact("abcdef", [("ip", 1, 4), ("id", 2, 5)]) == "a<IP>f"
