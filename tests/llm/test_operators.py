@@ -642,6 +642,15 @@ def test_quality_learns_every_language(docs_of):
     assert got[300].kept and got[301].kept and not got[302].kept
 
 
+def test_quality_rare_language_among_many(docs_of, spark):
+    many = spark.range(26_000).selectExpr("id + 1000 AS doc_id", "'a stone' AS text", "'en' AS lang")
+    rare = docs_of([(i, prose(i, 300, RU)) for i in range(25)], lang="ru").union(docs_of([(30, prose(1, 300, EN))], lang="ru")).union(docs_of([(31, prose(40, 300, RU))], lang=None))
+    rows = many.union(rare.select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in quality.quality(rows).where("doc_id < 1000").collect()}
+    assert all(got[i].kept and got[i].char_distance is not None for i in range(25)) and not got[30].kept
+    assert got[31].kept and got[31].word_distance < 0.2
+
+
 def test_quality_query_equals_sql(docs_of, spark, tmp_path):
     import duckdb
 
