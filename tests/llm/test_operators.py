@@ -665,6 +665,32 @@ def test_quality_query_equals_sql(docs_of, spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r[cols.index("kept")] for r in got} == {True, False}
 
 
+def test_quality_every_language_equals_its_sql(docs_of, spark, tmp_path):
+    """Large, small and too small languages, one of three different words, and documents without a language; with the share only the large are judged."""
+    import duckdb
+
+    from citeforge.llm import queries
+
+    r = random.Random(9)
+    docs = docs_of([(100 + i, prose(i, 90, EN)) for i in range(400)])
+    for k in range(12):
+        own = [f"w{k}x{j}" for j in range(14)] + RU[k : k + 3]
+        docs = docs.union(docs_of([(1000 + 100 * k + i, prose(100 * k + i, r.randrange(20, 150), own)) for i in range(19 + k)], lang=f"l{k}"))
+    docs = docs.union(docs_of([(3000 + i, prose(i, 200, ["uno", "dos", "tres"])) for i in range(21)], lang="few"))
+    docs = docs.union(docs_of([*ODD, (4000, prose(1, 200, EN)), (4001, prose(2, 200, [f"w5x{j}" for j in range(14)] + RU[5:8])), (4002, prose(3, 200, RU)), (4002, prose(3, 200, RU)), (4003, "dos " * 200), (4004, "%$# " * 300)], lang=None))
+    docs.unionByName(spark.range(24_000).selectExpr("10000 + id AS doc_id", "'a stone' AS text", "'en' AS lang"), allowMissingColumns=True).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    judged = {}
+    for name in ("quality_every_language", "op9_quality_divergence"):
+        want = con.execute(queries.oracle_sql()[name]).fetchall()
+        cols = [c[0] for c in con.description]
+        got = [tuple(r[c] for c in cols) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+        judged[name] = {(r[0] - 1000) // 100 for r in got if 1000 <= (r[0] or 0) < 3000 and r[cols.index("char_distance")] is not None}
+    assert judged == {"quality_every_language": set(range(1, 12)), "op9_quality_divergence": set(range(6, 12))}
+
+
 def test_licenses(docs_of):
     mit = licenses.KNOWN[0][1].replace("<year> <copyright holders>", "2020 Someone").upper().replace(", ", " ,  ")
     rows = [*ODD, (20, mit), (21, "some text\nreleased under the mit LICENCE!\nmore"), (22, "Released under the MIT License. And more")]
